@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from auditlake.llm.op1_bpe import op1_bpe
+from auditlake.llm.op3_licenses import op3_licenses
+from auditlake.llm.op7_secrets import op7_secrets
 from auditlake.llm.op9_packing import op9_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op9_packing)}
+    return {f.__name__: f for f in (op1_bpe, op3_licenses, op7_secrets, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
