@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from auditlake.session import importable
+
 #: Rows in one Arrow batch. Texts have no length limit, so the batch is kept short in rows; every
 #: operator further cuts it by bytes with `runs()`.
 BATCH_ROWS = 256
@@ -23,6 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keeps Arrow batches small enough that a batch of very long texts fits a Python worker."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
