@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from auditlake.session import importable
 
@@ -70,6 +71,14 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def extended(df: DataFrame, **columns: str) -> T.StructType:
+    """The schema of `df` with more columns."""
+    schema = T.StructType(list(df.schema.fields))
+    for name, kind in columns.items():
+        schema = schema.add(name, kind)
+    return schema
+
+
 def runs(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive slices of rows of at most `limit` bytes together (a longer row stands alone)."""
     start = total = 0

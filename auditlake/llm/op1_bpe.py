@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from auditlake.llm.bpe import encoder
-from auditlake.llm.common import bounded_batches, table
+from auditlake.llm.common import bounded_batches, extended, table
 
 #: Tokens decoded at once in a check of the round trip.
 DECODE_TOKENS = 1 << 20
@@ -23,7 +23,7 @@ DECODE_TOKENS = 1 << 20
 def encode_texts(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """`df` with the ids of each text as an array<int> column."""
     bounded_batches(df.sparkSession)
-    schema = df.schema.add(ids, "array<int>")
+    schema = extended(df, **{ids: "array<int>"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
@@ -39,7 +39,7 @@ def encode_texts(df: DataFrame, vocabulary: str, text: str = "text", ids: str =
 def decode_ids(df: DataFrame, vocabulary: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """`df` with the text that each array of ids stands for; null ids give null."""
     bounded_batches(df.sparkSession)
-    schema = df.schema.add(text, "string")
+    schema = extended(df, **{text: "string"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = encoder(vocabulary).vocabulary
