@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from auditlake.llm.op1_bpe import op1_bpe
 from auditlake.llm.op2_quality import op2_quality
 from auditlake.llm.op3_licenses import op3_licenses
+from auditlake.llm.op4_suffix_dedup import op4_suffix_dedup
 from auditlake.llm.op6_language import op6_language
 from auditlake.llm.op7_secrets import op7_secrets
 from auditlake.llm.op8_neardup import op8_neardup
@@ -16,7 +17,7 @@ from auditlake.llm.op9_packing import op9_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_licenses, op6_language, op7_secrets, op8_neardup, op9_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_licenses, op4_suffix_dedup, op6_language, op7_secrets, op8_neardup, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
