@@ -384,11 +384,11 @@ def with_stretches(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     # A row that is repeated as it is (same doc_id, same text) stands in another place: all of it goes.
-    copies = docs.filter(F.octet_length("text") >= WINDOW).groupBy(F.xxhash64("doc_id", "text").alias("_key")).agg(F.count("*").alias("_copies")).filter("_copies > 1")
-    stretches = repeated_stretches(docs, scratch).withColumnRenamed("key", "_key").withColumnRenamed("cut", "_cut")
+    copies = docs.filter(F.octet_length("text") >= WINDOW).groupBy(F.xxhash64("doc_id", "text").alias("_auditlake_key")).agg(F.count("*").alias("_auditlake_copies")).filter("_auditlake_copies > 1")
+    stretches = repeated_stretches(docs, scratch).withColumnRenamed("key", "_auditlake_key").withColumnRenamed("cut", "_auditlake_cut")
     copies = scratch.write(copies, "copies")
-    marks = stretches.join(copies, "_key", "full_outer")
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(marks, "_key", "left").withColumn("_cut", F.when(F.col("_copies").isNotNull(), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end")))).otherwise(F.col("_cut"))).drop("_key", "_copies")
+    marks = stretches.join(copies, "_auditlake_key", "full_outer")
+    return docs.withColumn("_auditlake_key", F.xxhash64("doc_id", "text")).join(marks, "_auditlake_key", "left").withColumn("_auditlake_cut", F.when(F.col("_auditlake_copies").isNotNull(), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end")))).otherwise(F.col("_auditlake_cut"))).drop("_auditlake_key", "_auditlake_copies")
 
 
 def kept_parts(text: bytes, cut: list[tuple[int, int]]) -> bytes:
@@ -412,4 +412,4 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_stretches(docs).select("doc_id", "text", "_cut").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_stretches(docs).select("doc_id", "text", "_auditlake_cut").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
