@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def importable(spark: SparkSession) -> None:
@@ -15,3 +15,15 @@ def importable(spark: SparkSession) -> None:
     paths = [*filter(None, (env.get("PYTHONPATH"), os.environ.get("PYTHONPATH")))]
     if root not in os.pathsep.join(paths).split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """`df` held by files in the cluster's shared folder, so later steps don't repeat it and lost executors
+    don't matter. Without a shared folder (local runs) it is kept by the session."""
+    spark = df.sparkSession
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if where:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(where)
+        return df.checkpoint()
+    return df.persist()
