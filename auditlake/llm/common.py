@@ -73,10 +73,8 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
 
 def extended(df: DataFrame, **columns: str) -> T.StructType:
     """The schema of `df` with more columns."""
-    schema = T.StructType(list(df.schema.fields))
-    for name, kind in columns.items():
-        schema = schema.add(name, kind)
-    return schema
+    added = [f for name, kind in columns.items() for f in T.StructType.fromDDL(f"`{name}` {kind}").fields]
+    return T.StructType([*df.schema.fields, *added])
 
 
 def runs(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
