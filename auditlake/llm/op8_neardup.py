@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import Scratch, bounded_batches, runs, table, text_bytes
+from auditlake.llm.common import Scratch, bounded_batches, free_shuffles, runs, table, text_bytes
 
 SHINGLE = 5
 COORDINATES = 64
@@ -35,8 +35,8 @@ MATCHES = 30
 #: Coordinate-value pairs that are put last in the order, at most so many.
 FREQUENT = 50_000
 #: Hub rounds, at most, before the remaining pairs are listed; and the pairs a posted row may stand for.
-HUB_ROUNDS = 8
-PAIRS_A_ROW = 1.0
+HUB_ROUNDS = 2
+PAIRS_A_ROW = 2.0
 RUN_BYTES = 1 << 20
 CACHE_WORDS = 400_000
 
@@ -149,12 +149,18 @@ def similar(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
     return pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def colliding(pairs: DataFrame, signatures_of: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree on MATCHES coordinates."""
+def colliding(pairs: DataFrame, signatures_of: DataFrame, percent: int = 75) -> DataFrame:
+    """The pairs whose sets are of similar enough size and whose signatures agree on MATCHES coordinates."""
     s = signatures_of
-    both = pairs.join(s.select(F.col("node").alias("a"), F.col("signature").alias("p")), "a").join(s.select(F.col("node").alias("b"), F.col("signature").alias("q")), "b")
+    one = s.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("p"))
+    two = s.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("q"))
     agree = F.aggregate(F.zip_with("p", "q", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return both.filter(agree >= MATCHES).select("a", "b").distinct()
+    return pairs.join(one, "a").join(two, "b").filter(alike(F.col("n_a"), F.col("n_b"), percent) & (agree >= MATCHES)).select("a", "b").distinct()
+
+
+def alike(n: F.Column, m: F.Column, percent: int = 75) -> F.Column:
+    """Sets of such sizes can be similar enough at all."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
 def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
@@ -181,32 +187,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark)
     rows = scratch.write(prepared(docs), "rows")
     known = rows.filter("set_key is not null and doc_id is not null")
-    classes = scratch.write(known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "classes")
+    classes = scratch.write(known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
     postings = scratch.write(posted(classes), "postings")
-    hubs = postings.groupBy("code").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("code", "hub")
-    postings = scratch.write(postings.join(hubs, "code"), "shared")
+    free_shuffles(spark)
+    mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "node"))
+    members = postings.groupBy("code").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("size"), mark(1).alias("m1"), mark(2).alias("m2")).filter("hub < last")
+    # Postings of the same members are one: copies share dozens.
+    hubs = members.groupBy("hub", "size", "m1", "m2").agg(F.min("code").alias("code")).select("code", "hub")
+    postings = scratch.write(postings.join(hubs, "code").join(classes.select("node", "n"), "node").select("code", "node", "n", "hub"), "shared")
     scratch.drop("postings")
-    # Texts of the classes that share a posting.
+    # Texts and signatures of the classes that share a posting.
     taking = postings.select("node").distinct()
-    chosen = classes.join(taking, "node", "left_semi").select("node", "set_key", "signature")
-    sigs = scratch.write(chosen.select("node", "signature"), "signatures")
+    sigs = scratch.write(classes.join(taking, "node", "left_semi").select("node", "n", "signature"), "signatures")
     # Of the rows of a class any one will do: all have the same set.
     texts = scratch.write(docs.filter("text is not null").select(F.col("doc_id").alias("node"), "text").join(taking, "node").dropDuplicates(), "texts")
+    free_shuffles(spark)
     # A doc_id with several sets ties their classes together.
     of_doc = known.join(classes.select("set_key", "node"), "set_key").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("a")).filter("a != b").select("a", "b")
     first = postings.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     links = scratch.write(similar(colliding(first, sigs), texts).union(of_doc), "links-0")
     roots = components(scratch, links, "parts-0")
-    for k in range(1, HUB_ROUNDS + 1):
-        placed = postings.select("code", "node").join(roots, "node", "left").select("code", "node", F.coalesce("root", "node").alias("root"))
+    for k in range(1, HUB_ROUNDS + 2):
+        placed = postings.select("code", "node", "n").join(roots, "node", "left").select("code", "node", "n", F.coalesce("root", "node").alias("root"))
         open_ = placed.groupBy("code").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("code")
         placed = scratch.write(placed.join(open_, "code"), f"open-{k}")
         parts = placed.groupBy("code", "root").count()
         sums = parts.groupBy("code").agg(((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
-        last = k == HUB_ROUNDS or sums <= PAIRS_A_ROW * placed.count()
+        last = k > HUB_ROUNDS or sums <= PAIRS_A_ROW * placed.count()
         if last:
-            other = placed.select("code", F.col("node").alias("b"), F.col("root").alias("root_b"))
-            pairs = placed.join(other, "code").filter("root < root_b").select(F.col("node").alias("a"), "b").distinct()
+            other = placed.select("code", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+            pairs = placed.join(other, "code").filter((F.col("root") < F.col("root_b")) & alike(F.col("n"), F.col("n_b"))).select(F.col("node").alias("a"), "b").distinct()
         else:
             # Another hub each round, from the largest component of the posting, for nodes outside it.
             size = parts.groupBy("code").agg(F.max(F.struct("count", "root")).alias("s")).select("code", F.col("s.root").alias("root_b"))
@@ -214,6 +224,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             pairs = placed.join(hub, "code").filter("root != root_b").select(F.col("node").alias("a"), "b").distinct()
         more = scratch.write(similar(colliding(pairs, sigs), texts), f"links-{k}")
         roots = components(scratch, roots.toDF("a", "b").union(more), f"parts-{k}")
+        free_shuffles(spark)
         if last:
             break
     rep = classes.select("set_key", "node").join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
