@@ -8,9 +8,11 @@ that agree on MATCHES coordinates share at least one posted pair. Frequent value
 so a passage or line that a third of the corpus holds fills no posting; a long posting is then one of
 near copies. Collisions are counted over whole signatures, and links are confirmed on full shingle sets.
 
-A posting is not expanded into its pairs: its members are first compared with one hub. Once they are one
-component, merging skips the posting. Only pairs of a posting that lie in different components go on, to
-further hubs, and the rest, when few, one by one, so no link between different components is lost.
+A posting is not expanded into its pairs: its members are first compared with one hub, and merging skips
+postings whose members have become one component. In the others, each member outside the largest
+component is held against all of other components by the posting's own index; only links come out. A
+posting of more than MAX_MEMBERS members in several components is compared by joins, so it needn't fit
+one task. So no link between different components is lost.
 
 A null text and one without words have an empty set and are linked with nothing; a null doc_id is linked
 with nothing and is kept (component_id null); rows that repeat a doc_id are one node; an empty table gives
@@ -34,9 +36,8 @@ COORDINATES = 64
 MATCHES = 30
 #: Coordinate-value pairs that are put last in the order, at most so many.
 FREQUENT = 50_000
-#: Hub rounds, at most, before the remaining pairs are listed; and the pairs a posted row may stand for.
-HUB_ROUNDS = 2
-PAIRS_A_ROW = 2.0
+#: Members of a posting that are compared within one task; larger ones are compared by joins.
+MAX_MEMBERS = 20_000
 RUN_BYTES = 1 << 20
 CACHE_WORDS = 400_000
 
@@ -163,6 +164,61 @@ def alike(n: F.Column, m: F.Column, percent: int = 75) -> F.Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def links_of_posting(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], percent: int = 75) -> list[tuple[int, int]]:
+    """Links between members of one posting that lie in different components. Every such pair has a member
+    outside the largest component, so only those are held against all. Of the links of a member with one
+    component, one is enough."""
+    names, count = np.unique(roots, return_counts=True)
+    outside = np.flatnonzero(roots != names[count.argmax()])
+    size = np.array([len(s) for s in sets])
+    sigs = signatures(sets)
+    # The posting's own inverted index of shingles.
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    shingle, holder = flat[order], owner[order]
+    out = []
+    for x in outside.tolist():
+        fits = (roots != roots[x]) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x]))
+        fits[fits] = (sigs[fits] == sigs[x]).sum(axis=1) >= MATCHES
+        if not fits.any():
+            continue
+        low, high = np.searchsorted(shingle, sets[x], "left"), np.searchsorted(shingle, sets[x], "right")
+        n = high - low
+        both = np.bincount(holder[np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))], minlength=len(sets))
+        hits = np.flatnonzero(fits & (100 * both >= percent * (size + size[x] - both)))
+        for y in hits[np.unique(roots[hits], return_index=True)[1]].tolist():
+            out.append((int(nodes[x]), int(nodes[y])))
+    return out
+
+
+def joined_in_postings(rows: DataFrame) -> DataFrame:
+    """(a, b): links within postings. rows: code, node, root, text; a posting's rows stand together."""
+
+    def solve(held: list[tuple]) -> list[tuple[int, int]]:
+        held = [(n, r, s) for n, r, t in held if len(s := shingles(t))]
+        if len({r for _, r, _ in held}) < 2:
+            return []
+        return links_of_posting(np.array([n for n, _, _ in held]), np.array([r for _, r, _ in held]), [s for _, _, s in held])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, held = None, []
+        for batch in batches:
+            out = []
+            for c, node, root, text in zip(*(batch.column(i).to_pylist() for i in range(3)), text_bytes(batch.column(3)), strict=True):
+                if c != code:
+                    out += solve(held)
+                    code, held = c, []
+                held.append((node, root, text))
+            yield _links(out)
+        yield _links(solve(held))
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(2)], names=["a", "b"])
+
+
 def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     """(node, root) of every linked node but the roots, by alternating large and small stars."""
 
@@ -173,13 +229,14 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
         out = moved.filter("b > a").select("b", "m") if large else moved.select("b", "m").union(least)
         return out.toDF("a", "b").filter("a != b").distinct()
 
-    edges, seen, k = scratch.write(links.select("a", "b"), f"{name}-0"), None, 0
+    edges, k = scratch.write(links.select("a", "b"), f"{name}-0"), 0
     while True:
         edges, k = scratch.write(star(star(edges, True), False), f"{name}-{k + 1}"), k + 1
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == seen:
+        # Done when every node has one root and no root has one.
+        ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("low"), F.lit(0).alias("high")).union(edges.select("b", F.lit(0), F.lit(1)))
+        open_ = ends.groupBy("id").agg(F.sum("low").alias("low"), F.max("high").alias("high")).filter("low > 1 OR (low > 0 AND high > 0)")
+        if open_.isEmpty():
             return edges.toDF("node", "root")
-        seen = state
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -207,26 +264,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = postings.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     links = scratch.write(similar(colliding(first, sigs), texts).union(of_doc), "links-0")
     roots = components(scratch, links, "parts-0")
-    for k in range(1, HUB_ROUNDS + 2):
-        placed = postings.select("code", "node", "n").join(roots, "node", "left").select("code", "node", "n", F.coalesce("root", "node").alias("root"))
-        open_ = placed.groupBy("code").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("code")
-        placed = scratch.write(placed.join(open_, "code"), f"open-{k}")
-        parts = placed.groupBy("code", "root").count()
-        sums = parts.groupBy("code").agg(((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
-        last = k > HUB_ROUNDS or sums <= PAIRS_A_ROW * placed.count()
-        if last:
-            other = placed.select("code", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-            pairs = placed.join(other, "code").filter((F.col("root") < F.col("root_b")) & alike(F.col("n"), F.col("n_b"))).select(F.col("node").alias("a"), "b").distinct()
-        else:
-            # Another hub each round, from the largest component of the posting, for nodes outside it.
-            size = parts.groupBy("code").agg(F.max(F.struct("count", "root")).alias("s")).select("code", F.col("s.root").alias("root_b"))
-            hub = placed.join(size, "code").filter("root = root_b").groupBy("code", "root_b").agg(F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node")).alias("s")).select("code", "root_b", F.col("s.node").alias("b"))
-            pairs = placed.join(hub, "code").filter("root != root_b").select(F.col("node").alias("a"), "b").distinct()
-        more = scratch.write(similar(colliding(pairs, sigs), texts), f"links-{k}")
-        roots = components(scratch, roots.toDF("a", "b").union(more), f"parts-{k}")
-        free_shuffles(spark)
-        if last:
-            break
+    # Postings whose members are not one component yet.
+    placed = postings.select("code", "node", "n").join(roots, "node", "left").select("code", "node", "n", F.coalesce("root", "node").alias("root"))
+    open_ = placed.groupBy("code").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("code", "members")
+    placed = scratch.write(placed.join(open_, "code"), "open")
+    inside = placed.filter(F.col("members") <= MAX_MEMBERS).select("code", "node", "root")
+    more = joined_in_postings(inside.join(texts, "node").select("code", "node", "root", "text").repartition("code").sortWithinPartitions("code"))
+    if placed.filter(F.col("members") > MAX_MEMBERS).limit(1).count():
+        left = placed.filter(F.col("members") > MAX_MEMBERS)
+        right = left.select("code", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+        pairs = left.join(right, "code").filter((F.col("root") < F.col("root_b")) & alike(F.col("n"), F.col("n_b"))).select(F.col("node").alias("a"), "b").distinct()
+        more = more.union(similar(colliding(pairs, sigs), texts))
+    more = scratch.write(more, "links-1")
+    if not more.isEmpty():
+        roots = components(scratch, roots.toDF("a", "b").union(more), "parts-1")
+    scratch.drop("shared", "signatures", "texts", "open")
     rep = classes.select("set_key", "node").join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(rep, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

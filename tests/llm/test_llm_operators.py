@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from auditlake.llm import op4_suffix_dedup as op4
 from auditlake.llm import op5_chat as op5
+from auditlake.llm import op8_neardup as op8
 from auditlake.llm.bpe import encoder
 from auditlake.llm.op1_bpe import decode_ids, encode_texts, round_trip_digests
 from auditlake.llm.op2_quality import prior, quality_rows, read, train
@@ -267,7 +268,9 @@ def test_op8(docs, empty, edge):
     assert near_duplicates(empty).count() == 0
 
 
-def test_op8_large_group(spark):
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_op8_large_group(spark, most, monkeypatch):
+    monkeypatch.setattr(op8, "MAX_MEMBERS", most)
     rng = random.Random(4)
     base = [f"w{rng.randint(0, 500)}" for _ in range(90)]
     texts = []
