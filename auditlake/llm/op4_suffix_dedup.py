@@ -73,14 +73,25 @@ def window_minima(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: len(x) - width + 1], ahead[width - 1 : len(x)])
 
 
-def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, place, hash) of every anchor of the texts' windows."""
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """base ** 0, 1, ... n - 1 modulo 2 ** 64."""
+    with np.errstate(over="ignore"):
+        return np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, base, np.uint64))])
+
+
+_UP = powers(_M1, 2 * CHUNK)
+_DOWN = powers(np.uint64(pow(int(_M1), -1, 1 << 64)), 2 * CHUNK)
+
+
+def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, place, tail, hash, context) of every anchor of the texts' windows."""
     group: list[int] = []
     size = 0
 
-    def found() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def found() -> tuple[np.ndarray, ...]:
         block = np.frombuffer(b"".join(texts[i] for i in group), np.uint8)
-        return _anchors(block, np.array(group), np.array([len(texts[i]) for i in group]), 0)
+        sizes = np.array([len(texts[i]) for i in group])
+        return _anchors(block, np.array(group), sizes, 0, 0, len(block))
 
     for i, t in enumerate(texts):
         if len(t) < WINDOW:
@@ -88,8 +99,9 @@ def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         if len(t) > CHUNK:
             whole = np.frombuffer(t, np.uint8)
             for a in range(0, len(t) - WINDOW + 1, CHUNK):
-                part = whole[a : a + CHUNK + WINDOW - 1]
-                yield _anchors(part, np.array([i]), np.array([len(part)]), a)
+                # With all bytes that a window about an anchor of these windows can hold.
+                low, high = max(0, a - WINDOW), min(len(t), a + CHUNK + 2 * WINDOW)
+                yield _anchors(whole[low:high], np.array([i]), np.array([high - low]), low, a - low, a - low + CHUNK)
             continue
         if size + len(t) > CHUNK:
             yield found()
@@ -100,18 +112,26 @@ def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         yield found()
 
 
-def _anchors(block: np.ndarray, owners: np.ndarray, sizes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(block: np.ndarray, owners: np.ndarray, sizes: np.ndarray, base: int, first: int, end: int) -> tuple[np.ndarray, ...]:
+    """Anchors of the windows that start in first..end - 1 of a block of texts; `base`: bytes of its text before the block."""
     h = anchor_hashes(block)
     # The low bits hold the place, so of equal hashes the leftmost is least.
     least = window_minima((h & ~_LOW) | np.arange(len(h), dtype=np.uint64), SPAN)
     ends = np.cumsum(sizes)
     starts = ends - sizes
     inside = np.ones(len(least), bool)
+    inside[:first] = inside[end:] = False
     for e in ends[:-1]:
         inside[max(0, e - WINDOW + 1) : e] = False
     at = np.unique((least[inside] & _LOW).astype(np.int64))
     own = np.searchsorted(ends, at, "right")
-    return owners[own], at - starts[own] + base, h[at].view(np.int64)
+    low, high = np.maximum(starts[own], at - SPAN + 1), np.minimum(ends[own], at + WINDOW)
+    # A hash of the surroundings, and of the anchor's place in them.
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[block] * _UP[: len(block)])])
+    context = ((sums[high] - sums[low]) * _DOWN[low] + (at - low).astype(np.uint64)) * _M2
+    context ^= context >> np.uint64(32)
+    context = (context * _M1) ^ (high - low).astype(np.uint64)
+    return owners[own], at - starts[own] + base, high - at, h[at].view(np.int64), context.view(np.int64)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -120,36 +140,34 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def all_anchors(docs: DataFrame) -> DataFrame:
-    """(key, place, hash)"""
+    """(key, place, tail, hash, context): `tail` bytes of the text from the anchor on, at most a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            for own, at, h in anchors(text_bytes(batch.column(1))):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(at, pa.int64()), pa.array(h)], names=["key", "place", "hash"])
+            for own, at, tail, h, context in anchors(text_bytes(batch.column(1))):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(at, pa.int64()), pa.array(tail.astype(np.int32)), pa.array(h), pa.array(context)], names=["key", "place", "tail", "hash", "context"])
 
-    return _keyed(docs).mapInArrow(run, "key long, place long, hash long")
+    return _keyed(docs).mapInArrow(run, "key long, place long, tail int, hash long, context long")
 
 
 def surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(hash, key, place, left, around, size_around, context) of the anchors in `places` (key, found: places and hashes)."""
+    """(hash, key, place, left, around, once, big) of the anchors in `places` (key, found)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["hash", "key", "place", "left", "around", "once", "big"]
         for batch in batches:
             for i, text in enumerate(text_bytes(batch.column(1))):
-                key = batch.column(0)[i].as_py()
-                found = batch.column(2)[i].as_py()
+                key, found = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
                 for a in range(0, len(found), 2000):
                     part = found[a : a + 2000]
                     at = [x["place"] for x in part]
                     left = [min(p, SPAN - 1) for p in at]
                     around = [text[p - n : p + WINDOW] for p, n in zip(at, left, strict=True)]
-                    # Surroundings are equal if their bytes and the anchor's place in them are.
-                    context = [int.from_bytes(hashlib.blake2b(s, digest_size=8, salt=bytes([n])).digest(), "big", signed=True) for s, n in zip(around, left, strict=True)]
-                    cols = [pa.array([x["hash"] for x in part], pa.int64()), pa.array([key] * len(part), pa.int64()), pa.array(at, pa.int64()), pa.array(left, pa.int32()), pa.array(around, pa.binary()), pa.array([len(s) for s in around], pa.int32()), pa.array(context, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["hash", "key", "place", "left", "around", "size_around", "context"])
+                    cols = [pa.array([x["hash"] for x in part], pa.int64()), pa.array([key] * len(part), pa.int64()), pa.array(at, pa.int64()), pa.array(left, pa.int32()), pa.array(around, pa.binary()), *(pa.array([x[c] for x in part], pa.bool_()) for c in ("once", "big"))]
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return _keyed(docs).join(places, "key").select("key", "text", "found").mapInArrow(run, "hash long, key long, place long, left int, around binary, size_around int, context long")
+    return _keyed(docs).join(places, "key").select("key", "text", "found").mapInArrow(run, "hash long, key long, place long, left int, around binary, once boolean, big boolean")
 
 
 class BlindTrie:
@@ -306,6 +324,9 @@ def sorted_stretches(rows: DataFrame) -> DataFrame:
 
     def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
+        # A row that is repeated has brought its anchors more than once.
+        ids = np.stack([t.column(c).to_numpy() for c in ("hash", "key", "place")], axis=1)
+        t = t.take(np.sort(np.unique(ids, axis=0, return_index=True)[1]))
         group = np.unique(t.column("hash").to_numpy(), return_inverse=True)[1]
         hits = repeated_windows(group, t.column("left").to_numpy().astype(np.int64), t.column("around").to_pylist())
         out = [x for key, place, once, row in zip(t.column("key").to_pylist(), t.column("place").to_pylist(), t.column("once").to_pylist(), hits, strict=True) if once for x in _stretches(key, place, row)]
@@ -348,25 +369,28 @@ def windows(rows: DataFrame) -> DataFrame:
 def repeated_stretches(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, cut): the stretches to remove from each row that has any."""
     every = scratch.write(all_anchors(docs), "anchors")
-    twice = every.groupBy("hash").count().filter("count > 1").select("hash")
-    found = every.join(twice, "hash").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("place", "hash"))).alias("found"))
-    # Anchors of rows that are repeated whole count as often as the rows do; the set keeps one.
-    near = scratch.write(surroundings(docs, found), "around")
-    scratch.drop("anchors")
-    contexts = near.groupBy("hash", "context").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("place").alias("place"))
-    contexts = scratch.write(contexts, "contexts")
-    groups = contexts.groupBy("hash").agg(F.count("*").alias("size")).filter("size > 1")
-    chosen = scratch.write(contexts.join(groups, "hash").select("hash", "context", "key", "place", "size", (F.col("n") == 1).alias("once")), "chosen")
+    twice = scratch.write(every.groupBy("hash").count().filter("count > 1").select("hash"), "twice")
+    found = scratch.write(every.join(twice, "hash"), "found")
+    scratch.drop("anchors", "twice")
+    contexts = scratch.write(found.groupBy("hash", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("at")), "contexts")
+    groups = scratch.write(contexts.groupBy("hash").agg(F.count("*").alias("size")).filter("size > 1"), "groups")
     # Repeated whole: every window within the surroundings.
-    whole = near.join(contexts.filter("n > 1").select("hash", "context"), ["hash", "context"]).filter(F.col("size_around") >= WINDOW).select("key", (F.col("place") - F.col("left")).alias("start"), (F.col("place") - F.col("left") + F.col("size_around")).alias("end"))
-    picked = near.join(chosen, ["hash", "context", "key", "place"]).dropDuplicates(["hash", "context", "key", "place"]).select("hash", "key", "place", "left", "around", "once", "size")
-    small = picked.filter(F.col("size") <= MAX_GROUP).select("hash", "key", "place", "left", "around", "once").repartition("hash").sortWithinPartitions("hash")
-    parts = whole.union(sorted_stretches(small))
-    if chosen.filter(F.col("size") > MAX_GROUP).limit(1).count():
-        wide = scratch.write(windows(picked.filter(F.col("size") > MAX_GROUP)), "windows")
-        again = wide.groupBy("window").count().filter("count > 1").select("window")
-        parts = parts.union(wide.join(again, "window").select("key", "start", (F.col("start") + WINDOW).alias("end")))
-    return scratch.write(parts.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cut")), "stretches")
+    left = F.least("place", F.lit(SPAN - 1))
+    again = contexts.filter("n > 1").select("hash", "context")
+    whole = found.filter(left + F.col("tail") >= WINDOW).join(again, ["hash", "context"]).select("key", (F.col("place") - left).alias("start"), (F.col("place") + F.col("tail")).alias("end"))
+    whole = scratch.write(whole, "whole")
+    # One of each surroundings is sorted with the others of its anchor.
+    chosen = contexts.join(groups, "hash").select("at.key", F.struct("at.place", "hash", (F.col("n") == 1).alias("once"), (F.col("size") > MAX_GROUP).alias("big")).alias("x"))
+    near = scratch.write(surroundings(docs, chosen.groupBy("key").agg(F.collect_set("x").alias("found"))), "around")
+    scratch.drop("found", "contexts", "groups")
+    parts = whole.union(sorted_stretches(near.filter("not big").select("hash", "key", "place", "left", "around", "once").repartition("hash").sortWithinPartitions("hash")))
+    if near.filter("big").limit(1).count():
+        wide = scratch.write(windows(near.filter("big")).distinct(), "windows")
+        more = wide.groupBy("window").count().filter("count > 1").select("window")
+        parts = parts.union(wide.join(more, "window").select("key", "start", (F.col("start") + WINDOW).alias("end")))
+    parts = scratch.write(parts.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cut")), "stretches")
+    scratch.drop("around", "whole", "windows")
+    return parts
 
 
 def merged(cut: list[dict]) -> list[tuple[int, int]]:
