@@ -247,12 +247,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = scratch.write(known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
     postings = scratch.write(posted(classes), "postings")
     free_shuffles(spark)
-    mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "node"))
-    members = postings.groupBy("code").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("size"), mark(1).alias("m1"), mark(2).alias("m2")).filter("hub < last")
-    # Postings of the same members are one: copies share dozens.
-    hubs = members.groupBy("hub", "size", "m1", "m2").agg(F.min("code").alias("code")).select("code", "hub")
-    postings = scratch.write(postings.join(hubs, "code").join(classes.select("node", "n"), "node").select("code", "node", "n", "hub"), "shared")
+    hubs = postings.groupBy("code").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("code", "hub")
+    shared = scratch.write(postings.join(hubs, "code"), "shared")
     scratch.drop("postings")
+    # Postings of the same members are one: copies share dozens.
+    mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "node"))
+    members = shared.groupBy("code").agg(F.min("hub").alias("hub"), F.count("*").alias("size"), mark(1).alias("m1"), mark(2).alias("m2"))
+    one = members.groupBy("hub", "size", "m1", "m2").agg(F.min("code").alias("code")).select("code")
+    postings = scratch.write(shared.join(one, "code", "left_semi"), "merged")
+    scratch.drop("shared")
     # Texts and signatures of the classes that share a posting.
     taking = postings.select("node").distinct()
     sigs = scratch.write(classes.join(taking, "node", "left_semi").select("node", "n", "signature"), "signatures")
@@ -265,20 +268,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = scratch.write(similar(colliding(first, sigs), texts).union(of_doc), "links-0")
     roots = components(scratch, links, "parts-0")
     # Postings whose members are not one component yet.
-    placed = postings.select("code", "node", "n").join(roots, "node", "left").select("code", "node", "n", F.coalesce("root", "node").alias("root"))
+    placed = postings.select("code", "node").join(roots, "node", "left").select("code", "node", F.coalesce("root", "node").alias("root"))
     open_ = placed.groupBy("code").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("code", "members")
     placed = scratch.write(placed.join(open_, "code"), "open")
     inside = placed.filter(F.col("members") <= MAX_MEMBERS).select("code", "node", "root")
     more = joined_in_postings(inside.join(texts, "node").select("code", "node", "root", "text").repartition("code").sortWithinPartitions("code"))
     if placed.filter(F.col("members") > MAX_MEMBERS).limit(1).count():
         left = placed.filter(F.col("members") > MAX_MEMBERS)
-        right = left.select("code", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-        pairs = left.join(right, "code").filter((F.col("root") < F.col("root_b")) & alike(F.col("n"), F.col("n_b"))).select(F.col("node").alias("a"), "b").distinct()
+        right = left.select("code", F.col("node").alias("b"), F.col("root").alias("root_b"))
+        pairs = left.join(right, "code").filter(F.col("root") < F.col("root_b")).select(F.col("node").alias("a"), "b").distinct()
         more = more.union(similar(colliding(pairs, sigs), texts))
     more = scratch.write(more, "links-1")
     if not more.isEmpty():
         roots = components(scratch, roots.toDF("a", "b").union(more), "parts-1")
-    scratch.drop("shared", "signatures", "texts", "open")
+    scratch.drop("merged", "signatures", "texts", "open")
     rep = classes.select("set_key", "node").join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(rep, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
