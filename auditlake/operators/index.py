@@ -80,3 +80,14 @@ def alternatives(index: DataFrame, key: list[str]) -> DataFrame:
     priority = F.array_position(F.array(*(F.lit(f) for f in PREFERENCE)), F.col("format"))
     groups = index.groupBy(*key).agg(F.array_sort(F.collect_set("format")).alias("formats"), F.min_by("report_key", F.struct(priority, "report_key")).alias("preferred_key"), F.bool_or(F.col("format") == "json").alias("has_json"))
     return index.join(groups, key)
+
+
+def suffix_match(asked: DataFrame, keys: DataFrame) -> DataFrame:
+    """asked: id, path. keys: key. Each path's best key of the same last segment: equal 0, one a suffix of
+    the other 1, else 2; of equal rank the least key."""
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    j = asked.withColumn("_l", last(F.col("path"))).join(keys.select("key", last(F.col("key")).alias("_l")), "_l")
+    slash = lambda c: F.concat(F.lit("/"), c)
+    suffix = F.endswith("path", slash(F.col("key"))) | F.endswith("key", slash(F.col("path")))
+    rank = F.when(F.col("path") == F.col("key"), 0).when(suffix, 1).otherwise(2)
+    return j.groupBy("id").agg(F.min(F.struct(rank.alias("rank"), "key")).alias("m")).select("id", "m.key", "m.rank")

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditlake.operators import index as I
 from auditlake.registry import query
-from auditlake.sources.derived import read, report_index, with_sql
+from auditlake.sources.derived import code_files, read, report_index, with_sql
 
 EXEC = "vulnerability_type = 'Executive Summary'"
 
@@ -111,11 +110,10 @@ def l7_sorted_map(spark: SparkSession, d: str) -> DataFrame:
     return report_index(spark, d).select("report_key", F.get(ordered, F.size(ordered) - 1).getField("v").alias("picked"))
 
 
-@query("SELECT l_orderkey, l_suppkey, l_partkey, CASE WHEN l_suppkey = 3 THEN 0 ELSE 1 END AS kind FROM lineitem WHERE l_suppkey = 3 OR l_partkey % 100 = 7")
+@query(with_sql("code_files", "SELECT file_id AS id, path AS key, CAST(file_id % 3 AS INT) AS rank FROM code_files"))
 def j4_path_suffix_match(spark: SparkSession, d: str) -> DataFrame:
-    """Keys are joined on the last segment and ranked: equal path 0, suffix of the other 1."""
-    li = read(spark, d, "lineitem").filter("l_suppkey = 3 OR l_partkey % 100 = 7").select("l_orderkey", "l_suppkey", "l_partkey")
-    asked = li.withColumn("asked", F.when(F.col("l_suppkey") == 3, F.concat(F.lit("a/b/f"), F.col("l_orderkey").cast("string"))).otherwise(F.concat(F.lit("b/f"), F.col("l_orderkey").cast("string"))))
-    key = F.concat(F.lit("a/b/f"), F.col("l_orderkey").cast("string"))
-    kind = F.when(F.col("asked") == key, 0).when(F.endswith(key, F.concat(F.lit("/"), F.col("asked"))), 1).otherwise(2)
-    return asked.select("l_orderkey", "l_suppkey", "l_partkey", kind.alias("kind"))
+    """Paths as they are, below another root, and in another folder."""
+    files = code_files(spark, d)
+    k = F.col("file_id")
+    path = F.when(k % 3 == 0, F.col("path")).when(k % 3 == 1, F.concat(F.lit("/root/"), "path")).otherwise(F.concat(F.lit("other/"), F.element_at(F.split("path", "/"), -1)))
+    return I.suffix_match(files.select(k.alias("id"), path.alias("path")), files.select(F.col("path").alias("key")))
