@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,17 +133,29 @@ def posted(classes: DataFrame) -> DataFrame:
     return classes.select("node", "signature").mapInArrow(run, "code long, node long")
 
 
+def compressed(texts: DataFrame) -> DataFrame:
+    """(node, text): texts, which move once for each open posting, as compressed bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t) for t in text_bytes(batch.column(1))], pa.binary())], names=["node", "text"])
+
+    return texts.mapInArrow(run, "node long, text binary")
+
+
 def similar(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes | None, np.ndarray | None] = (None, None)
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             keep = []
             for x, y in zip(text_bytes(batch.column(2)), text_bytes(batch.column(3)), strict=True):
                 if last[0] != x:
-                    last = (x, shingles(x))
-                s, t = last[1], shingles(y)
+                    last = (x, shingles(unpack(x)))
+                s, t = last[1], shingles(unpack(y))
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
@@ -195,7 +208,8 @@ def joined_in_postings(rows: DataFrame) -> DataFrame:
     """(a, b): links within postings. rows: code, node, root, text; a posting's rows stand together."""
 
     def solve(held: list[tuple]) -> list[tuple[int, int]]:
-        held = [(n, r, s) for n, r, t in held if len(s := shingles(t))]
+        unpack = zstandard.ZstdDecompressor().decompress
+        held = [(n, r, s) for n, r, t in held if len(s := shingles(unpack(t)))]
         if len({r for _, r, _ in held}) < 2:
             return []
         return links_of_posting(np.array([n for n, _, _ in held]), np.array([r for _, r, _ in held]), [s for _, _, s in held])
@@ -260,7 +274,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     taking = postings.select("node").distinct()
     sigs = scratch.write(classes.join(taking, "node", "left_semi").select("node", "n", "signature"), "signatures")
     # Of the rows of a class any one will do: all have the same set.
-    texts = scratch.write(docs.filter("text is not null").select(F.col("doc_id").alias("node"), "text").join(taking, "node").dropDuplicates(), "texts")
+    texts = scratch.write(compressed(docs.filter("text is not null").select(F.col("doc_id").alias("node"), "text").join(taking, "node").dropDuplicates()), "texts")
     free_shuffles(spark)
     # A doc_id with several sets ties their classes together.
     of_doc = known.join(classes.select("set_key", "node"), "set_key").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("a")).filter("a != b").select("a", "b")
