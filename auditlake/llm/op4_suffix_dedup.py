@@ -124,6 +124,9 @@ def _anchors(block: np.ndarray, owners: np.ndarray, sizes: np.ndarray, base: int
     for e in ends[:-1]:
         inside[max(0, e - WINDOW + 1) : e] = False
     at = np.unique((least[inside] & _LOW).astype(np.int64))
+    if first:
+        # The chunk before has this one: an anchor of windows on both sides of a cut is that of the last window before it.
+        at = at[at != int(least[first - 1] & _LOW)]
     own = np.searchsorted(ends, at, "right")
     low, high = np.maximum(starts[own], at - SPAN + 1), np.minimum(ends[own], at + WINDOW)
     # A hash of the surroundings, and of the anchor's place in them.

@@ -181,6 +181,24 @@ def test_op5(spark):
     assert op5.perspectives(chats.limit(0)).count() == 0
 
 
+def test_op4_counts_an_anchor_of_two_chunks_once(spark):
+    rng = random.Random(12)
+    text = "".join(rng.choices("abcdefgh ", k=2 * op4.CHUNK + 5000))
+    found = [int(p) for _, at, *_ in op4.anchors([text.encode()]) for p in at]
+    assert len(found) == len(set(found))
+    # The second text repeats a passage on the first cut; the surroundings of the second cut stand nowhere else.
+    other = "x" * 50 + text[op4.CHUNK - 150 : op4.CHUNK + 170] + "y" * 50
+    texts = [text.encode(), other.encode()]
+    want = {i: (len(t) - sum(g), len(re.findall(b"\1+", g))) for i, (t, g) in enumerate(zip(texts, brute_repeats(texts), strict=True))}
+    assert want[0] == (len(text) - 320, 1)
+    df = spark.createDataFrame([(0, text), (1, other)], "doc_id long, text string").repartition(2)
+    got = {}
+    for r in op4.with_stretches(df).collect():
+        cut = op4.merged([x.asDict() for x in r["_auditlake_cut"] or []])
+        got[r["doc_id"]] = (len(op4.kept_parts(r["text"].encode(), cut)), len(cut))
+    assert got == want
+
+
 def test_suffix_automaton():
     text = [1, 2, 1, 1, 2, 3, 1]
     moves = suffix_automaton(text)
