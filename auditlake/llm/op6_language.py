@@ -15,6 +15,7 @@ empty result; other columns are not read."""
 from __future__ import annotations
 
 import math
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,8 +33,9 @@ TRAIN_ROWS = 60
 TRAIN_CHARS = 24_000
 #: Characters parsed as one sequence.
 BLOCK = 512
-#: Codes of characters: 0 none that was learned, 1 anything but letters, then the most frequent letters.
-CODES = 64
+#: Codes of characters: 0 none that was learned, 1 anything but letters, then all letters of the sample, the most
+#: frequent first. Codes below DENSE have columns in the table of transitions; the others' are kept sparse.
+DENSE = 64
 UNDETERMINED = "und"
 RUN_BYTES = 2 << 20
 
@@ -61,29 +63,28 @@ class Alphabet:
     """Codes of characters, lower-cased, by their frequency in the sample."""
 
     def __init__(self, texts: list[str]) -> None:
-        letters = Counter(c for t in texts for c in t.lower() if c.isalpha())
-        codes = {c: i + 2 for i, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: CODES - 2])}
-        self.code = np.zeros(0x10000, np.uint8)
-        self.letter = np.zeros(0x10000, bool)
-        for c in range(0x10000):
-            s = chr(c)
-            self.letter[c] = s.isalpha()
-            self.code[c] = codes.get(s.lower(), 0) if self.letter[c] else 1
+        letters: Counter[str] = Counter()
+        for t in texts:
+            for c, n in Counter(t).items():
+                if c.isalpha():
+                    letters[c.lower()] += n
+        codes = {c: i + 2 for i, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0])))}
+        self.size = len(codes) + 2
+        self.code = np.ones(sys.maxunicode + 1, np.int32)
+        self.letter = np.zeros(sys.maxunicode + 1, bool)
+        for c, s in enumerate(map(chr, range(sys.maxunicode + 1))):
+            if s.isalpha():
+                self.letter[c] = True
+                self.code[c] = codes.get(s.lower(), 0)
 
     def read(self, text: str) -> tuple[np.ndarray, bool]:
         """Codes, runs of other characters as one, and whether there is a letter."""
         points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
-        beyond = points > 0xFFFF
-        if beyond.any():
-            has = any(chr(c).isalpha() for c in np.unique(points[beyond]).tolist())
-            points = np.where(beyond, 0xFFFF, points)
-        else:
-            has = False
         codes = self.code[points]
         other = codes == 1
         keep = np.ones(len(codes), bool)
         keep[1:] = ~(other[1:] & other[:-1])
-        return codes[keep], has or bool(self.letter[points].any())
+        return codes[keep], bool(self.letter[points].any())
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -118,29 +119,42 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 class Parser:
     """The automata of all languages as one table: row = state, column = code. A negative entry ~s ends
-    the phrase; the next one starts with that character, in state s."""
+    the phrase; the next one starts with that character, in state s. Transitions by codes from DENSE on are
+    in `keys` (state and code), in order, and `targets`; `first` has the states where phrases start."""
 
     def __init__(self, sample: Sample) -> None:
         self.languages = [lang for lang, _ in sample]
         self.alphabet = Alphabet([t for _, t in sample])
-        tables, self.roots, self.weights, base = [], [], [], 0
-        for _, text in sample:
+        tables, sparse, self.roots, self.weights, base = [], [], [], [], 0
+        self.first = np.zeros((len(sample), self.alphabet.size), np.int32)
+        for (_, text), first in zip(sample, self.first, strict=True):
             codes, _ = self.alphabet.read(text)
             moves = suffix_automaton([c for c in codes.tolist()])
-            first = np.full(CODES, base, np.int32)
+            first[:] = base
             for c, s in moves[0].items():
                 first[c] = base + s
-            first[0] = base
-            rows = np.tile(~first, (len(moves), 1))
+            dense = np.full(DENSE, ~base, np.int32)
+            dense[: self.alphabet.size] = ~first[:DENSE]
+            rows = np.tile(dense, (len(moves), 1))
             for s, out in enumerate(moves):
                 for c, to in out.items():
-                    if c:
+                    if c < DENSE:
                         rows[s, c] = base + to
+                    else:
+                        sparse.append(((base + s) * self.alphabet.size + c, base + to))
             tables.append(rows)
             self.roots.append(base)
             self.weights.append(math.log2(len(codes) + 2))
             base += len(moves)
         self.table = np.concatenate(tables).ravel() if tables else np.empty(0, np.int32)
+        # The last key is none's, so that every search ends at a key.
+        self.keys, self.targets = np.array([*sorted(sparse), (np.iinfo(np.int64).max, 0)], np.int64).T.copy()
+
+    def rare(self, k: int, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Entries for codes from DENSE on under language k."""
+        key = state * self.alphabet.size + code
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.targets[at], ~self.first[k, code])
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text under each language."""
@@ -159,12 +173,17 @@ class Parser:
         within = np.arange(len(flat)) - np.repeat(lows, size)
         grid[within, np.repeat(place, size)] = flat
         active = np.searchsorted(-size[order], -np.arange(BLOCK), "left")
+        far = grid >= DENSE
+        dense = np.where(far, 0, grid)
+        rare = [np.flatnonzero(row) for row in far] if far.any() else []
         for k, root in enumerate(self.roots):
             state = np.full(len(size), root, np.int64)
             count = np.ones(len(size), np.int64)
             for t in range(int(size[order[0]])):
                 n = active[t]
-                to = self.table[state[:n] * CODES + grid[t, :n]]
+                to = self.table[state[:n] * DENSE + dense[t, :n]]
+                if rare and len(rare[t]):
+                    to[rare[t]] = self.rare(k, state[rare[t]], grid[t, rare[t]])
                 ends = to < 0
                 count[:n] += ends
                 state[:n] = np.where(ends, ~to, to)

@@ -19,7 +19,7 @@ from auditlake.llm.bpe import encoder
 from auditlake.llm.op1_bpe import decode_ids, encode_texts, round_trip_digests
 from auditlake.llm.op2_quality import prior, quality_rows, read, train
 from auditlake.llm.op3_licenses import license_digest, license_places
-from auditlake.llm.op6_language import suffix_automaton, training_sample, with_language
+from auditlake.llm.op6_language import Parser, suffix_automaton, training_sample, with_language
 from auditlake.llm.op7_secrets import RULES, _leaves, digest_spans, redacted, secret_spans, trigram_query
 from auditlake.llm.op8_neardup import near_duplicates
 from auditlake.llm.op9_packing import Packer, cut, pack, slots, token_ids
@@ -223,6 +223,33 @@ def test_op6(docs, empty, spark):
     assert found[:2] == ["en", "fr"] and found[2] in ("en", "fr")
 
 
+def brute_phrases(text, learned):
+    fold = lambda t: re.sub("\0+", "\0", "".join(c.lower() if c.isalpha() else "\0" for c in t))
+    text, learned = fold(text), fold(learned)
+    count, phrase = 1, ""
+    for c in text:
+        if phrase + c in learned:
+            phrase += c
+        else:
+            count, phrase = count + 1, c if c in learned else ""
+    return count
+
+
+def test_op6_learns_every_letter():
+    rng = random.Random(3)
+    scripts = {"el": (0x3B1, 24), "en": (0x61, 26), "got": (0x10330, 27), "ja": (0x3042, 80), "ko": (0xAC00, 900), "ru": (0x430, 32), "yue": (0x20000, 600), "zh": (0x4E00, 2000)}
+    words = {k: ["".join(chr(low + int(n * rng.random() ** 2)) for _ in range(rng.randint(1, 6))) for _ in range(300)] for k, (low, n) in scripts.items()}
+    say = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    sample = tuple((k, say(k, 600)) for k in sorted(scripts))
+    texts = [say(k, 40) for k in sorted(scripts)] + [say("zh", 8) + say("ru", 8) + "Ÿ 中 ß" + say("yue", 8), "ΣΑΣ Ж"]
+    parser = Parser(sample)
+    assert len(set("".join(t for _, t in sample))) > 640
+    assert [lang for lang, _ in parser.predict(texts)][: len(scripts)] == sorted(scripts)
+    read = [parser.alphabet.read(t)[0] for t in texts]
+    assert max(map(len, read)) <= 512
+    assert parser.phrases(read).tolist() == [[brute_phrases(t, learned) for _, learned in sample] for t in texts]
+
+
 def brute_secrets(text):
     spans = []
     for kind, pattern, group, least in (("assign", RULES[0].pattern, 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16)):
