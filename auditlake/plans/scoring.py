@@ -82,6 +82,12 @@ def l1_score_order(spark: SparkSession, d: str) -> DataFrame:
     return scores(spark, d).filter("type_id = 3").select("type_id", "file_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "file_id").limit(100)
 
 
+@query(with_sql("scores", "SELECT type_id, file_id, round(score, 6) AS score FROM scores ORDER BY round(score, 6) DESC, type_id, file_id"))
+def l1_whole_score_order(spark: SparkSession, d: str) -> DataFrame:
+    """All scores of all types; l1_score_order is the head of one type's."""
+    return scores(spark, d).select("type_id", "file_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "type_id", "file_id")
+
+
 @query(with_sql("scores", "SELECT file_id, round(max(score), 6) AS score FROM scores GROUP BY file_id ORDER BY 2 DESC, 1 LIMIT 5"))
 def l2_top_five(spark: SparkSession, d: str) -> DataFrame:
     return scores(spark, d).groupBy("file_id").agg(F.round(F.max("score"), 6).alias("score")).orderBy(F.desc("score"), "file_id").limit(5)

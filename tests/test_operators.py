@@ -5,14 +5,18 @@ import random
 
 from pyspark.sql import functions as F
 
+import oracle
+from auditlake import registry
 from auditlake.functions import jsonfix as J
 from auditlake.functions import names as N
+from auditlake.operators import index as I
 from auditlake.operators import models as M
 from auditlake.operators import patterns as P
 from auditlake.operators import text as T
 from auditlake.operators import vectors as V
 from auditlake.operators.index import severity_tokens
 from auditlake.sources import stores as S
+from auditlake.sources.derived import report_index
 
 
 def column(spark, kind, values, f):
@@ -36,6 +40,18 @@ def test_upper_median(spark):
     assert V.score_statistics(s, ["t"]).first()["median_upper"] == 0.3
 
 
+def test_whole_orders(spark):
+    queries = registry.queries()
+    pairs = queries["j1_similarity_join"](spark, oracle.DATA).count()
+    found = queries["l1_whole_score_order"](spark, oracle.DATA).collect()
+    assert len({r["type_id"] for r in found}) == 8 and len(found) >= pairs
+    assert found == sorted(found, key=lambda r: (-r["score"], r["type_id"], r["file_id"]))
+    n = report_index(spark, oracle.DATA).count()
+    keys = [(r["date"], I.PREFERENCE.index(r["format"]), r["report_key"]) for r in queries["l5_whole_report_order"](spark, oracle.DATA).collect()]
+    assert len(keys) == n > 50
+    assert keys == sorted(sorted(keys, key=lambda k: k[1:]), key=lambda k: k[0], reverse=True)
+
+
 def test_cosine_guards(spark):
     rows = [([1.0, 0.0], [0.0, 0.0]), ([1.0], [1.0, 2.0]), ([3.0, 4.0], [3.0, 4.0])]
     got = [r[0] for r in spark.createDataFrame(rows, "a array<double>, b array<double>").select(V.cosine(F.col("a"), F.col("b"))).collect()]
