@@ -57,6 +57,14 @@ def p8_entry_points_of_file(spark: SparkSession, d: str) -> DataFrame:
     return hits(spark, d, "entry").filter("file_id = 7 OR file_id % 100 = 3").select("kind", "line_no")
 
 
+@query(with_sql("code_lines", f"WITH {hits_sql('entry')} SELECT file_id, string_agg(kind || ':' || line_no, ',' ORDER BY line_no, kind) AS entry_points FROM hits GROUP BY file_id"))
+def p8_entry_points_by_file(spark: SparkSession, d: str) -> DataFrame:
+    """The entry points of every file; p8_entry_points_of_file looks up some files."""
+    found = F.array_sort(F.collect_list(F.struct("line_no", "kind")))
+    points = F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["line_no"].cast("string"))), ",")
+    return hits(spark, d, "entry").groupBy("file_id").agg(points.alias("entry_points"))
+
+
 def _severity_query(group: str) -> str:
     return with_sql("code_lines", f"WITH {hits_sql(group)} SELECT file_id, line_no, kind, {SEVERITY_SQL} AS severity FROM hits")
 

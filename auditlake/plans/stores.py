@@ -29,6 +29,14 @@ def s6_guarded_walk(spark: SparkSession, d: str) -> DataFrame:
     return code_files(spark, d).filter(small).orderBy("path").limit(500).select("path")
 
 
+@query(with_sql("code_files", "SELECT path FROM code_files WHERE octet_length(encode(content)) <= 1048576 AND regexp_extract(path, '[^.]*$') IN (SELECT lang FROM documents) AND NOT list_has_any(string_split(lower(regexp_extract(path, '^(.*)/', 1)), '/'), ['.git', '.hg', '.svn', '.venv', 'venv', 'env', 'node_modules', 'dist', 'build', '.mypy_cache', '.pytest_cache', '.oasis_cache', '__pycache__']) ORDER BY path LIMIT 5000"))
+def s6_whole_walk(spark: SparkSession, d: str) -> DataFrame:
+    """With the survey's bounds; the tables' languages stand for the extensions."""
+    files = code_files(spark, d)
+    allowed = read(spark, d, "documents").select(F.lower("lang").alias("suffix")).distinct()
+    return S.guarded_walk(files, allowed).select("path")
+
+
 @query("SELECT doc_id, text = text AS same FROM documents")
 def s3_s7_tolerant_read(spark: SparkSession, d: str) -> DataFrame:
     """Texts survive both readers."""

@@ -52,6 +52,23 @@ def test_whole_orders(spark):
     assert keys == sorted(sorted(keys, key=lambda k: k[1:]), key=lambda k: k[0], reverse=True)
 
 
+def test_whole_lookup_and_walk(spark):
+    queries = registry.queries()
+    found = {r["file_id"]: r["entry_points"] for r in queries["p8_entry_points_by_file"](spark, oracle.DATA).collect()}
+    want = {}
+    for r in queries["p7_entry_points"](spark, oracle.DATA).collect():
+        want.setdefault(r["file_id"], []).append((r["line_no"], r["kind"]))
+    assert found == {k: ",".join(f"{kind}:{n}" for n, kind in sorted(v)) for k, v in want.items()}
+    assert any(k != 7 and k % 100 != 3 for k in found)
+    least = [(f"a/{i:05}.py", "x") for i in range(S.WALK_FILES + 9)]
+    allowed = spark.createDataFrame([("py",), ("env",)], "suffix string")
+    walk = lambda rows: [r["path"] for r in S.guarded_walk(spark.createDataFrame(rows, "path string, content string"), allowed).collect()]
+    assert walk(least[::-1]) == [p for p, _ in least[: S.WALK_FILES]]
+    good = [("a/b.PY", "x" * S.MAX_FILE_BYTES), ("a/dist.py", ""), ("a/x.env", "x")]
+    bad = [("a/c.py", "é" * (S.MAX_FILE_BYTES // 2) + "x"), ("a/Dist/b.py", "x"), ("../a.py", "x"), ("/a.py", "x"), ("a/.env", "x"), ("a/b.md", "x")]
+    assert walk(bad + good) == [p for p, _ in good]
+
+
 def test_cosine_guards(spark):
     rows = [([1.0, 0.0], [0.0, 0.0]), ([1.0], [1.0, 2.0]), ([3.0, 4.0], [3.0, 4.0])]
     got = [r[0] for r in spark.createDataFrame(rows, "a array<double>, b array<double>").select(V.cosine(F.col("a"), F.col("b"))).collect()]
