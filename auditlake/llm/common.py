@@ -10,24 +10,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from auditlake.session import importable
 
-#: Rows in one Arrow batch. Texts have no length limit, so the batch is kept short in rows; every
-#: operator further cuts it by bytes with `runs()`.
+#: Rows and bytes of text that an operator takes from an Arrow batch at a time. Texts have no length limit; Spark's
+#: own `spark.sql.execution.arrow.maxBytesPerBatch` (64 MB) bounds the batch, and no session option is changed.
 BATCH_ROWS = 256
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keeps Arrow batches small enough that a batch of very long texts fits a Python worker."""
-    importable(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def short(batches: Iterator[pa.RecordBatch], column: int, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows and `size` bytes of a text column (a longer text stands alone)."""
+    for batch in batches:
+        if not batch.num_rows:
+            yield batch
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        for a, b in runs(sizes, size):
+            for i in range(a, b, rows):
+                yield batch.slice(i, min(rows, b - i))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from auditlake.llm.bpe import encoder
-from auditlake.llm.common import bounded_batches, extended, table
+from auditlake.llm.common import extended, importable, short, table
 
 #: Tokens decoded at once in a check of the round trip.
 DECODE_TOKENS = 1 << 20
@@ -22,12 +22,12 @@ DECODE_TOKENS = 1 << 20
 
 def encode_texts(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """`df` with the ids of each text as an array<int> column."""
-    bounded_batches(df.sparkSession)
+    importable(df.sparkSession)
     schema = extended(df, **{ids: "array<int>"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        for batch in batches:
+        for batch in short(batches, text):
             rows = [np.frombuffer(enc.encode(t or ""), "<i4") for t in batch.column(text).to_pylist()]
             offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
             flat = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int32)
@@ -38,7 +38,7 @@ def encode_texts(df: DataFrame, vocabulary: str, text: str = "text", ids: str =
 
 def decode_ids(df: DataFrame, vocabulary: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """`df` with the text that each array of ids stands for; null ids give null."""
-    bounded_batches(df.sparkSession)
+    importable(df.sparkSession)
     schema = extended(df, **{text: "string"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,12 +52,12 @@ def decode_ids(df: DataFrame, vocabulary: str, ids: str = "token_ids", text: str
 
 def round_trip_digests(df: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row's text."""
-    bounded_batches(df.sparkSession)
+    importable(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         strings = enc.vocabulary.strings.__getitem__
-        for batch in batches:
+        for batch in short(batches, 1):
             counts, of_ids, of_text = [], [], []
             for t in batch.column(1).to_pylist():
                 packed = enc.encode(t or "")

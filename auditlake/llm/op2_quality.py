@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import Interned, bounded_batches, intern_words, runs, table, text_bytes
+from auditlake.llm.common import Interned, importable, intern_words, runs, short, table, text_bytes
 
 #: Bounds of the training sample: documents, and lines of one (longer ones are not learned from).
 TRAIN_DOCS = 800
@@ -227,11 +227,11 @@ def train(documents: list[tuple[np.ndarray, int]], steps: int = 60, pull: float
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, int]]:
     """Line features and quality of at most TRAIN_DOCS documents of at most TRAIN_LINES lines."""
-    bounded_batches(docs.sparkSession)
+    importable(docs.sparkSession)
     picked = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(TRAIN_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches, 1):
             found = []
             for doc, text, quality in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 f = read([text]).features
@@ -245,11 +245,11 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray
 
 def quality_rows(df: DataFrame, field: Field, least: float = CONTENT_SHARE) -> DataFrame:
     """The counts, verdicts and content shares of each row's text."""
-    bounded_batches(df.sparkSession)
+    importable(df.sparkSession)
     columns = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "base_failed": pa.bool_(), "kept": pa.bool_(), "n_content_lines": pa.int64(), "n_boilerplate_lines": pa.int64(), "content_share": pa.float64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches, 1):
             texts = [t or b"" for t in text_bytes(batch.column(1))]
             parts: list[list[np.ndarray]] = []
             for a, b in runs([len(t) for t in texts], RUN_BYTES):

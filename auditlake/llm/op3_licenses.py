@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm.common import bounded_batches, runs, table, text_bytes
+from auditlake.llm.common import importable, runs, short, table, text_bytes
 
 BLOCK_BYTES = 1 << 20
 #: One edit allowed in so many characters of a notice.
@@ -134,14 +134,14 @@ def scan(texts: list[bytes]) -> list[tuple[int, list[Place], list[Place]]]:
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
-    for batch in batches:
+    for batch in short(batches, 1):
         texts = [t or b"" for t in text_bytes(batch.column(1))]
         yield batch, [x for a, b in runs([len(t) for t in texts], BLOCK_BYTES) for x in scan(texts[a:b])]
 
 
 def license_places(df: DataFrame) -> DataFrame:
     """doc_id and every place found: label, words, edits and score, base and fuzzy."""
-    bounded_batches(df.sparkSession)
+    importable(df.sparkSession)
     kind = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("edits", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,7 @@ def license_places(df: DataFrame) -> DataFrame:
 
 
 def license_digest(df: DataFrame) -> DataFrame:
-    bounded_batches(df.sparkSession)
+    importable(df.sparkSession)
 
     def labels(places: list[Place]) -> str:
         return ",".join(sorted({p.label for p in places}))

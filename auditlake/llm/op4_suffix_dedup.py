@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import Scratch, bounded_batches, table, text_bytes
+from auditlake.llm.common import Scratch, importable, short, table, text_bytes
 
 WINDOW = 200
 ANCHOR = 40
@@ -146,7 +146,7 @@ def all_anchors(docs: DataFrame) -> DataFrame:
     """(key, place, tail, hash, context): `tail` bytes of the text from the anchor on, at most a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches, 1):
             keys = batch.column(0).to_numpy()
             for own, at, tail, h, context in anchors(text_bytes(batch.column(1))):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(at, pa.int64()), pa.array(tail.astype(np.int32)), pa.array(h), pa.array(context)], names=["key", "place", "tail", "hash", "context"])
@@ -159,7 +159,7 @@ def surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["hash", "key", "place", "left", "around", "once", "big"]
-        for batch in batches:
+        for batch in short(batches, 1):
             for i, text in enumerate(text_bytes(batch.column(1))):
                 key, found = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
                 for a in range(0, len(found), 2000):
@@ -408,7 +408,7 @@ def merged(cut: list[dict]) -> list[tuple[int, int]]:
 
 def with_stretches(docs: DataFrame) -> DataFrame:
     """`docs` with _cut: the stretches to remove, as an array, or null."""
-    bounded_batches(docs.sparkSession)
+    importable(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     # A row that is repeated as it is (same doc_id, same text) stands in another place: all of it goes.
     copies = docs.filter(F.octet_length("text") >= WINDOW).groupBy(F.xxhash64("doc_id", "text").alias("_auditlake_key")).agg(F.count("*").alias("_auditlake_copies")).filter("_auditlake_copies > 1")
@@ -430,7 +430,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches, 1):
             rows = []
             for doc, text, cut in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 text, cut = text or b"", merged(cut or [])

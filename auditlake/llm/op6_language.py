@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import bounded_batches, extended, runs, table
+from auditlake.llm.common import extended, importable, runs, short, table
 
 #: Bounds of the labelled sample, for each language.
 TRAIN_ROWS = 60
@@ -216,12 +216,12 @@ def predictions(batch: pa.RecordBatch, text: int, sample: Sample) -> list[tuple[
 
 def with_language(df: DataFrame, sample: Sample, text: str = "text") -> DataFrame:
     """`df` with lang_pred and score."""
-    bounded_batches(df.sparkSession, 1024)
+    importable(df.sparkSession)
     schema = extended(df, lang_pred="string", score="double")
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches, at, 1024):
             found = predictions(batch, at, sample)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm.common import bounded_batches, runs, table, text_bytes
+from auditlake.llm.common import importable, runs, short, table, text_bytes
 
 BLOCK_BYTES = 1 << 20
 #: Strings that a part of a pattern may expand to before it no longer counts as literal.
@@ -202,7 +202,7 @@ def scanner(rules: tuple[Rule, ...] = RULES) -> Scanner:
 def scanned(batches: Iterator[pa.RecordBatch], text: int, rules: tuple[Rule, ...] = RULES) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[list[tuple[int, int, int]]]]]:
     """Batches with their texts and the spans found in them."""
     scan = scanner(rules).scan
-    for batch in batches:
+    for batch in short(batches, text):
         texts = [t or b"" for t in text_bytes(batch.column(text))]
         spans = [s for a, b in runs([len(t) for t in texts], BLOCK_BYTES) for s in scan(texts[a:b])]
         yield batch, texts, spans
@@ -223,7 +223,7 @@ def joined(spans: list[tuple[int, int, int]], rules: tuple[Rule, ...] = RULES) -
 
 
 def rows_with(df: DataFrame, schema: str, make: Callable[[list[bytes], list], list[pa.Array]], rules: tuple[Rule, ...]) -> DataFrame:
-    bounded_batches(df.sparkSession)
+    importable(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in schema.split(", ")]

@@ -2,17 +2,24 @@
 
 Texts with equal shingle sets are one class. A class has a signature of COORDINATES minima; two classes of
 similarity 0.75 agree on 48 of 64 coordinates on average, and on fewer than MATCHES with a chance of about
-4e-7, so agreeing on MATCHES makes a candidate. Classes are posted under coordinate-value pairs, but by
-the prefix principle only under the COORDINATES - MATCHES + 1 that come first in one global order: two
-that agree on MATCHES coordinates share at least one posted pair. Frequent values come last in that order,
-so a passage or line that a third of the corpus holds fills no posting; a long posting is then one of
-near copies. Collisions are counted over whole signatures, and links are confirmed on full shingle sets.
-
-A posting is not expanded into its pairs: its members are first compared with one hub, and merging skips
-postings whose members have become one component. In the others, each member outside the largest
-component is held against all of other components by the posting's own index; only links come out. A
-posting of more than MAX_MEMBERS members in several components is compared by joins, so it needn't fit
-one task. So no link between different components is lost.
+4e-7, so agreeing on MATCHES makes a candidate. Classes are posted under coordinate-value pairs. Values that
+one class alone has can't collide, and by the prefix principle a class that shares s values with others is
+posted only under the s - MATCHES + 1 rarest of them: two that agree on MATCHES coordinates share at least
+one posted pair. So a passage that a third of the corpus holds fills no posting, and a long posting is one
+of near copies. Collisions are counted over whole signatures (their low bytes move, which can only add
+candidates), and links are confirmed on full shingle sets.
+
+What moves to a posting is brief: a class's low signature bytes and the parity sketch of its set, a bit for
+each hash value. Two sketches differ in at most as many bits as the sets have members apart, so a pair that
+they rule out is no link; texts move only for pairs that pass.
+
+A posting is not expanded into its pairs. Each member is first held against the posting's least one (its
+hub), and merging skips postings whose members have become one component. In those that stay open, each
+member outside the largest component is held against all of other components, in cells of at most about
+CELL_ROWS rows a side, so that no posting has to fit one task. Of a member's pairs with one component the
+BEST are confirmed first; postings that had more, and whose members are still apart then, give all. So no
+link between different components is lost. Postings are joined by their code; adaptive execution splits a
+code that many rows have.
 
 A null text and one without words have an empty set and are linked with nothing; a null doc_id is linked
 with nothing and is kept (component_id null); rows that repeat a doc_id are one node; an empty table gives
@@ -28,17 +35,20 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import Scratch, bounded_batches, free_shuffles, runs, table, text_bytes
+from auditlake.llm.common import Scratch, free_shuffles, importable, runs, short, table, text_bytes
 
 SHINGLE = 5
 COORDINATES = 64
 MATCHES = 30
-#: Coordinate-value pairs that are put last in the order, at most so many.
-FREQUENT = 50_000
-#: Members of a posting that are compared within one task; larger ones are compared by joins.
-MAX_MEMBERS = 20_000
+#: Rows of a posting that meet in one cell, a side.
+CELL_ROWS = 4096
+#: Pairs of a member with one component that are confirmed before all are.
+BEST = 8
+#: Greatest sketch, in bits. Larger sets than a quarter of it are told apart less sharply.
+SKETCH_BITS = 1 << 16
 RUN_BYTES = 1 << 20
 CACHE_WORDS = 400_000
 
@@ -85,52 +95,61 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of a set's members by hash value, over four to eight bits a member, as bytes."""
+    bits = min(SKETCH_BITS, max(64, 1 << (4 * len(s) - 1).bit_length()))
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little")
+
+
+def apart(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Bits in which the sketch x differs from each row's; the longer ones are folded to the shorter width."""
+    width = min(x.shape[-1], rows.shape[-1])
+    x, rows = _folded(x, width), _folded(rows, width)
+    return np.bitwise_count(x ^ rows).sum(axis=-1, dtype=np.int64)
+
+
+def _folded(a: np.ndarray, width: int) -> np.ndarray:
+    while a.shape[-1] > width:
+        half = a.shape[-1] // 2
+        a = a[..., :half] ^ a[..., half:]
+    return a
+
+
 def prepared(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (null: empty set) and signature of every row."""
-    bounded_batches(docs.sparkSession)
-    names = ["doc_id", "n_shingles", "set_key", "signature"]
+    """doc_id, n_shingles, set_key (null: empty set), signature and brief of every row."""
+    importable(docs.sparkSession)
+    names = ["doc_id", "n_shingles", "set_key", "signature", "brief"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches, 1):
             texts = [t or b"" for t in text_bytes(batch.column(1))]
-            sizes, keys, sigs = [], [], []
+            sizes, keys, sigs, briefs = [], [], [], []
             for a, b in runs([len(t) for t in texts], RUN_BYTES):
                 sets = [shingles(t) for t in texts[a:b]]
                 full = [s for s in sets if len(s)]
                 rows = iter(signatures(full).view(np.int32) if full else ())
-                sizes += [len(s) for s in sets]
-                keys += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                sigs += [next(rows) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], names=names)
+                for s in sets:
+                    sizes.append(len(s))
+                    row = next(rows) if len(s) else None
+                    sigs.append(row)
+                    keys.append(None if row is None else hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    briefs.append(None if row is None else row.astype(np.uint8).tobytes() + sketch(s).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32())), pa.array(briefs, pa.binary())], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature array<int>, brief binary")
 
 
 def posted(classes: DataFrame) -> DataFrame:
-    """(code, node): every class under the first coordinate-value pairs of its signature."""
-    spark = classes.sparkSession
-    code = lambda i, v: F.shiftleft(i.cast("long"), 32).bitwiseOR(v.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    values = classes.select(F.posexplode("signature").alias("i", "v")).select(code(F.col("i"), F.col("v")).alias("code"))
-    top = values.groupBy("code").count().filter("count >= 4").orderBy(F.desc("count"), "code").limit(FREQUENT).collect()
-    codes = np.array(sorted((r["code"], r["count"]) for r in top), np.int64).reshape(-1, 2)
-    shared = spark.sparkContext.broadcast(codes)
-    keep = COORDINATES - MATCHES + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, counts = shared.value[:, 0].copy(), np.append(shared.value[:, 1], 0)
-        for batch in batches:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, COORDINATES)
-            own = (np.arange(COORDINATES, dtype=np.int64) << 32) | (flat & 0xFFFFFFFF)
-            at = np.searchsorted(frequent, own)
-            at[(at >= len(frequent)) | (frequent[np.minimum(at, len(frequent) - 1)] != own) if len(frequent) else np.ones(own.shape, bool)] = len(frequent)
-            # By frequency, then by a hash of the pair: one order for all classes.
-            rank = np.argsort(_mixed(own.astype(np.uint64)), axis=1, kind="stable")
-            by = np.take_along_axis(counts[at], rank, axis=1)
-            rank = np.take_along_axis(rank, np.argsort(by, axis=1, kind="stable"), axis=1)[:, :keep]
-            nodes = np.repeat(batch.column(0).to_numpy(), keep)
-            yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(own, rank, axis=1).ravel()), pa.array(nodes)], names=["code", "node"])
-
-    return classes.select("node", "signature").mapInArrow(run, "code long, node long")
+    """(code, node): every class under the rarest of the coordinate-value pairs that it shares."""
+    code = F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    values = classes.select(F.posexplode("signature").alias("i", "v"), "node").select(code.alias("code"), "node")
+    shared = values.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1")
+    # By frequency, then by code: one order for all classes.
+    own = W.partitionBy("node")
+    order = own.orderBy("n", "code")
+    ranked = values.join(shared, "code").select("code", "node", F.row_number().over(order).alias("rank"), F.lag("code").over(order).alias("before"), F.count("*").over(own).alias("s"))
+    # A node of several sets may hold a pair twice.
+    return ranked.filter((F.col("rank") <= F.col("s") - (MATCHES - 1)) & ~F.col("before").eqNullSafe(F.col("code"))).select("code", "node")
 
 
 def compressed(texts: DataFrame) -> DataFrame:
@@ -150,7 +169,7 @@ def similar(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes | None, np.ndarray | None] = (None, None)
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in short(batches, 2):
             keep = []
             for x, y in zip(text_bytes(batch.column(2)), text_bytes(batch.column(3)), strict=True):
                 if last[0] != x:
@@ -163,74 +182,132 @@ def similar(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
     return pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def colliding(pairs: DataFrame, signatures_of: DataFrame, percent: int = 75) -> DataFrame:
-    """The pairs whose sets are of similar enough size and whose signatures agree on MATCHES coordinates."""
-    s = signatures_of
-    one = s.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("p"))
-    two = s.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("q"))
-    agree = F.aggregate(F.zip_with("p", "q", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return pairs.join(one, "a").join(two, "b").filter(alike(F.col("n_a"), F.col("n_b"), percent) & (agree >= MATCHES)).select("a", "b").distinct()
-
-
-def alike(n: F.Column, m: F.Column, percent: int = 75) -> F.Column:
-    """Sets of such sizes can be similar enough at all."""
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
-
-
-def links_of_posting(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], percent: int = 75) -> list[tuple[int, int]]:
-    """Links between members of one posting that lie in different components. Every such pair has a member
-    outside the largest component, so only those are held against all. Of the links of a member with one
-    component, one is enough."""
-    names, count = np.unique(roots, return_counts=True)
-    outside = np.flatnonzero(roots != names[count.argmax()])
-    size = np.array([len(s) for s in sets])
-    sigs = signatures(sets)
-    # The posting's own inverted index of shingles.
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-    order = np.argsort(flat, kind="stable")
-    shingle, holder = flat[order], owner[order]
-    out = []
-    for x in outside.tolist():
-        fits = (roots != roots[x]) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x]))
-        fits[fits] = (sigs[fits] == sigs[x]).sum(axis=1) >= MATCHES
-        if not fits.any():
-            continue
-        low, high = np.searchsorted(shingle, sets[x], "left"), np.searchsorted(shingle, sets[x], "right")
-        n = high - low
-        both = np.bincount(holder[np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))], minlength=len(sets))
-        hits = np.flatnonzero(fits & (100 * both >= percent * (size + size[x] - both)))
-        for y in hits[np.unique(roots[hits], return_index=True)[1]].tolist():
-            out.append((int(nodes[x]), int(nodes[y])))
-    return out
+def _read(briefs: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Low signature bytes, a row each, and sketches."""
+    flat = [np.frombuffer(b, np.uint8) for b in briefs]
+    return np.stack([b[:COORDINATES] for b in flat]), [np.ascontiguousarray(b[COORDINATES:]).view(np.uint64) for b in flat]
 
 
-def joined_in_postings(rows: DataFrame) -> DataFrame:
-    """(a, b): links within postings. rows: code, node, root, text; a posting's rows stand together."""
+def near_hubs(pairs: DataFrame, briefs: DataFrame, percent: int = 75) -> DataFrame:
+    """(a, b): of each a's pairs with hubs that may be links, the closest."""
+    one = briefs.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("brief").alias("p"))
+    two = briefs.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("brief").alias("q"))
+    rows = pairs.join(one, "a").join(two, "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
-    def solve(held: list[tuple]) -> list[tuple[int, int]]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        held = [(n, r, s) for n, r, t in held if len(s := shingles(unpack(t)))]
-        if len({r for _, r, _ in held}) < 2:
-            return []
-        return links_of_posting(np.array([n for n, _, _ in held]), np.array([r for _, r, _ in held]), [s for _, _, s in held])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in short(batches, 4):
+            n, far = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            if batch.num_rows:
+                (p, x), (q, y) = _read(batch.column(4).to_pylist()), _read(batch.column(5).to_pylist())
+                n = (p == q).sum(axis=1)
+                far = np.array([int(apart(s, t)) for s, t in zip(x, y, strict=True)])
+            both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            keep = pa.array((n >= MATCHES) & ((100 - percent) * both >= (100 + percent) * far))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(far / np.maximum(both, 1)).filter(keep)], names=["a", "b", "far"])
+
+    found = rows.select("a", "b", "n_a", "n_b", "p", "q").mapInArrow(run, "a long, b long, far double")
+    return found.groupBy("a").agg(F.min(F.struct("far", "b")).alias("x")).select("a", "x.b")
+
+
+class Cell:
+    """Members of a posting that meet in one task: `asking` ones are held against `asked` ones of other components."""
+
+    def __init__(self, node: np.ndarray, root: np.ndarray, n: np.ndarray, briefs: list[bytes], asking: np.ndarray, asked: np.ndarray, main: np.ndarray) -> None:
+        self.node, self.root, self.n, self.asking, self.asked, self.main = node, root, n, asking, asked, main
+        self.low, sketches = _read(briefs)
+        # Sketches of one width stand in one table.
+        width = np.array([len(s) for s in sketches])
+        self.tables = [(w, np.stack([sketches[i] for i in np.flatnonzero(width == w)])) for w in np.unique(width).tolist()]
+        self.width, self.place = width, np.empty(len(node), np.int64)
+        for w, table_ in self.tables:
+            self.place[width == w] = np.arange(len(table_))
+
+    def near(self, x: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that may be linked with row x, and how far apart they are for their size. Two members outside the
+        largest component meet twice; the one of the greater node asks."""
+        fits = self.asked & (self.root != self.root[x]) & (100 * np.minimum(self.n, self.n[x]) >= percent * np.maximum(self.n, self.n[x]))
+        at = np.flatnonzero(fits & ((self.root == self.main) | (self.node < self.node[x])))
+        at = at[(self.low[at] == self.low[x]).sum(axis=1) >= MATCHES]
+        far = np.zeros(len(at), np.int64)
+        own = next(t for w, t in self.tables if w == self.width[x])[self.place[x]]
+        for w, rows in self.tables:
+            here = self.width[at] == w
+            if here.any():
+                far[here] = apart(own, rows[self.place[at[here]]])
+        both = self.n[at] + self.n[x]
+        keep = (100 - percent) * both >= (100 + percent) * far
+        return at[keep], far[keep] / both[keep]
+
+    def pairs(self, best: int, percent: int = 75) -> Iterator[tuple[int, int, bool]]:
+        """(asking node, asked node, whether there were more): the `best` closest pairs of a member with a component; 0: all."""
+        for x in np.flatnonzero(self.asking).tolist():
+            at, far = self.near(x, percent)
+            if not len(at):
+                continue
+            by = np.lexsort((far, self.root[at]))
+            at = at[by]
+            first = np.flatnonzero(np.concatenate([[True], np.diff(self.root[at]) != 0]))
+            size = np.diff(np.append(first, len(at)))
+            rank = np.arange(len(at)) - np.repeat(first, size)
+            for y, k, m in zip(self.node[at].tolist(), rank.tolist(), np.repeat(size, size).tolist(), strict=True):
+                if not best or k < best:
+                    yield int(self.node[x]), y, bool(best and m > best)
+
+
+def open_postings(placed: DataFrame) -> DataFrame:
+    """(code, main, outside, total): postings with members in several components, the largest of them, members outside
+    it and all members. placed: code, node, root."""
+    parts = placed.groupBy("code", "root").agg(F.count("*").alias("k"))
+    found = parts.groupBy("code").agg(F.max(F.struct("k", "root")).alias("m"), F.count("*").alias("parts"), F.sum("k").alias("total"))
+    return found.filter("parts > 1").select("code", F.col("m.root").alias("main"), (F.col("total") - F.col("m.k")).alias("outside"), "total")
+
+
+def near_in_postings(placed: DataFrame, briefs: DataFrame, best: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(code, a, b, more): pairs of different components within a posting that may be links, as `Cell.pairs` gives them."""
+    side = lambda n: F.ceil(F.col(n) / cell_rows).cast("int")
+    rows = placed.join(open_postings(placed), "code").withColumn("out", F.col("root") != F.col("main"))
+    rows = rows.select("code", "node", "root", "main", "out", side("outside").alias("no"), side("total").alias("na"))
+    rows = rows.withColumn("o", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("no")).cast("int")).withColumn("p", F.pmod(F.xxhash64(F.lit(2), "node"), F.col("na")).cast("int"))
+    # As one that is asked a member goes to the cells of all who ask; as one that asks, to the cells of all others.
+    asked = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda i: F.struct(i.alias("o"), F.col("p").alias("p"), (F.col("out") & (i == F.col("o"))).alias("asking"), F.lit(True).alias("asked")))
+    asks = F.transform(F.filter(F.sequence(F.lit(0), F.col("na") - 1), lambda i: F.col("out") & (i != F.col("p"))), lambda i: F.struct(F.col("o").alias("o"), i.alias("p"), F.lit(True).alias("asking"), F.lit(False).alias("asked")))
+    rows = rows.select("code", "node", "root", "main", F.explode(F.concat(asked, asks)).alias("c")).join(briefs, "node")
+    rows = rows.select("code", "c.o", "c.p", "node", "root", "main", "n", "c.asking", "c.asked", "brief").repartition("code", "o", "p").sortWithinPartitions("code", "o", "p")
+
+    def solve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        root, n, main, node = (t.column(c).to_numpy() for c in ("root", "n", "main", "node"))
+        cell = Cell(node, root, n, t.column("brief").to_pylist(), t.column("asking").to_numpy(), t.column("asked").to_numpy(), main)
+        code, out = t.column("code")[0].as_py(), []
+        for pair in cell.pairs(best):
+            out.append((code, *pair))
+            if len(out) == 65_536:
+                yield _pairs(out)
+                out = []
+        yield _pairs(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, held = None, []
+        key, held = None, []
         for batch in batches:
-            out = []
-            for c, node, root, text in zip(*(batch.column(i).to_pylist() for i in range(3)), text_bytes(batch.column(3)), strict=True):
-                if c != code:
-                    out += solve(held)
-                    code, held = c, []
-                held.append((node, root, text))
-            yield _links(out)
-        yield _links(solve(held))
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and key != tuple(keys[a].tolist()):
+                    yield from solve(held)
+                    held = []
+                key = tuple(keys[a].tolist())
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from solve(held)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "code long, a long, b long, more boolean")
 
 
-def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(2)], names=["a", "b"])
+def _pairs(rows: list[tuple[int, int, int, bool]]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["code", "a", "b", "more"])
 
 
 def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
@@ -258,44 +335,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark)
     rows = scratch.write(prepared(docs), "rows")
     known = rows.filter("set_key is not null and doc_id is not null")
-    classes = scratch.write(known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
-    postings = scratch.write(posted(classes), "postings")
+    first = lambda c: F.first(c).alias(c)
+    classes = scratch.write(known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), first("signature"), first("brief")), "classes")
+    free_shuffles(spark)
+    every = scratch.write(posted(classes), "every")
     free_shuffles(spark)
-    hubs = postings.groupBy("code").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("code", "hub")
-    shared = scratch.write(postings.join(hubs, "code"), "shared")
-    scratch.drop("postings")
     # Postings of the same members are one: copies share dozens.
     mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "node"))
-    members = shared.groupBy("code").agg(F.min("hub").alias("hub"), F.count("*").alias("size"), mark(1).alias("m1"), mark(2).alias("m2"))
-    one = members.groupBy("hub", "size", "m1", "m2").agg(F.min("code").alias("code")).select("code")
-    postings = scratch.write(shared.join(one, "code", "left_semi"), "merged")
-    scratch.drop("shared")
-    # Texts and signatures of the classes that share a posting.
-    taking = postings.select("node").distinct()
-    sigs = scratch.write(classes.join(taking, "node", "left_semi").select("node", "n", "signature"), "signatures")
+    members = every.groupBy("code").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("size"), mark(1).alias("m1"), mark(2).alias("m2")).filter("hub < last")
+    one = members.groupBy("hub", "size", "m1", "m2").agg(F.min("code").alias("code")).select("code", "hub")
+    postings = scratch.write(every.join(one, "code"), "postings")
+    scratch.drop("every")
+    # Sketches and texts of the classes that share a posting.
+    taking = scratch.write(postings.select("node").distinct(), "taking")
+    briefs = scratch.write(classes.join(taking, "node", "left_semi").select("node", "n", "brief"), "briefs")
     # Of the rows of a class any one will do: all have the same set.
-    texts = scratch.write(compressed(docs.filter("text is not null").select(F.col("doc_id").alias("node"), "text").join(taking, "node").dropDuplicates()), "texts")
+    texts = scratch.write(compressed(docs.filter("text is not null and doc_id is not null").select(F.col("doc_id").alias("node"), "text")).join(taking, "node").dropDuplicates(), "texts")
     free_shuffles(spark)
     # A doc_id with several sets ties their classes together.
     of_doc = known.join(classes.select("set_key", "node"), "set_key").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("a")).filter("a != b").select("a", "b")
-    first = postings.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = scratch.write(similar(colliding(first, sigs), texts).union(of_doc), "links-0")
+    hubs = postings.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    links = scratch.write(similar(near_hubs(hubs, briefs), texts).union(of_doc), "links-0")
+    free_shuffles(spark)
     roots = components(scratch, links, "parts-0")
-    # Postings whose members are not one component yet.
-    placed = postings.select("code", "node").join(roots, "node", "left").select("code", "node", F.coalesce("root", "node").alias("root"))
-    open_ = placed.groupBy("code").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("code", "members")
-    placed = scratch.write(placed.join(open_, "code"), "open")
-    inside = placed.filter(F.col("members") <= MAX_MEMBERS).select("code", "node", "root")
-    more = joined_in_postings(inside.join(texts, "node").select("code", "node", "root", "text").repartition("code").sortWithinPartitions("code"))
-    if placed.filter(F.col("members") > MAX_MEMBERS).limit(1).count():
-        left = placed.filter(F.col("members") > MAX_MEMBERS)
-        right = left.select("code", F.col("node").alias("b"), F.col("root").alias("root_b"))
-        pairs = left.join(right, "code").filter(F.col("root") < F.col("root_b")).select(F.col("node").alias("a"), "b").distinct()
-        more = more.union(similar(colliding(pairs, sigs), texts))
-    more = scratch.write(more, "links-1")
-    if not more.isEmpty():
-        roots = components(scratch, roots.toDF("a", "b").union(more), "parts-1")
-    scratch.drop("merged", "signatures", "texts", "open")
+    codes = None
+    for k, best in ((1, BEST), (2, 0)):
+        # Postings whose members are not one component yet; in the end those that had more pairs than were confirmed.
+        placed = postings if codes is None else postings.join(codes, "code", "left_semi")
+        placed = scratch.write(placed.join(roots, "node", "left").select("code", "node", F.coalesce("root", "node").alias("root")), f"placed-{k}")
+        near = scratch.write(near_in_postings(placed, briefs, best), f"near-{k}")
+        links = scratch.write(similar(near.select("a", "b").distinct(), texts), f"links-{k}")
+        free_shuffles(spark)
+        if not links.isEmpty():
+            roots = components(scratch, roots.toDF("a", "b").union(links), f"parts-{k}")
+        codes = near.filter("more").select("code").distinct()
+        if codes.isEmpty():
+            break
+    scratch.drop("postings", "taking", "briefs", "texts", "placed-1", "near-1", "placed-2", "near-2")
     rep = classes.select("set_key", "node").join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(rep, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

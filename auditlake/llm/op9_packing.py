@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditlake.llm.bpe import NOT_PLAIN, PRE_TOKEN, Encoder, Vocabulary
-from auditlake.llm.common import Scratch, bounded_batches, table
+from auditlake.llm.common import Scratch, importable, short, table
 
 CAPACITY = 2048
 #: Salts over which the pieces of one length are numbered.
@@ -160,14 +160,14 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece, and row_key, which tells repeated rows apart."""
-    bounded_batches(df.sparkSession)
+    importable(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         row = (TaskContext.get().partitionId() << 40) - 1
         mark = np.array([end_id], "<u4")
-        for batch in batches:
+        for batch in short(batches, 1):
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 row += 1

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -313,9 +314,10 @@ def test_op8(docs, empty, edge):
     assert near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("most", [20_000, 1])
-def test_op8_large_group(spark, most, monkeypatch):
-    monkeypatch.setattr(op8, "MAX_MEMBERS", most)
+@pytest.mark.parametrize(("rows", "best"), [(4096, 8), (16, 1)])
+def test_op8_large_group(spark, rows, best, monkeypatch):
+    monkeypatch.setattr(op8, "BEST", best)
+    monkeypatch.setattr(op8.near_in_postings, "__defaults__", (rows,))
     rng = random.Random(4)
     base = [f"w{rng.randint(0, 500)}" for _ in range(90)]
     texts = []
@@ -330,6 +332,48 @@ def test_op8_large_group(spark, most, monkeypatch):
     assert got == want
 
 
+def test_op8_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(8)
+    for n in (3, 40, 300, 30_000):
+        s = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for share in (0.0, 0.1, 0.5):
+            t = np.unique(np.concatenate([s[: int(n * (1 - share))], rng.integers(0, 1 << 63, int(2 * n * share), dtype=np.uint64)]))
+            x, y = (op8.sketch(z).view(np.uint64) for z in (s, t))
+            assert int(op8.apart(x, y)) <= len(np.setxor1d(s, t))
+
+
+def test_op8_pairs_within_a_posting(spark):
+    """Every pair of different components that may be a link comes out, however the posting is cut into cells."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(200) > 0.08], rng.integers(0, 1 << 63, int(rng.integers(0, 20)), dtype=np.uint64)])) for _ in range(60)]
+    low = op8.signatures(sets).astype(np.uint8)
+    roots = [0 if i < 25 else i % 7 + 1 for i in range(60)]
+    briefs = spark.createDataFrame([(i, len(s), low[i].tobytes() + op8.sketch(s).tobytes()) for i, s in enumerate(sets)], "node long, n long, brief binary")
+    placed = spark.createDataFrame([(5, i, r) for i, r in enumerate(roots)] + [(6, 1, 0), (6, 2, 0)], "code long, node long, root long")
+    similar = {(a, b) for a in range(60) for b in range(a) if roots[a] != roots[b] and 4 * len(np.intersect1d(sets[a], sets[b])) >= 3 * len(np.union1d(sets[a], sets[b]))}
+    for rows in (4096, 7):
+        got = op8.near_in_postings(placed, briefs, 0, rows).collect()
+        assert len(got) == len({(r["a"], r["b"]) for r in got})
+        assert similar <= {(max(r["a"], r["b"]), min(r["a"], r["b"])) for r in got} and not any(r["more"] for r in got)
+    some = op8.near_in_postings(placed, briefs, 1, 7).collect()
+    assert any(r["more"] for r in some) and 0 < len(some) < len(got)
+
+
+def test_op8_a_posting_of_many_components():
+    """A full cell of members in 2,000 components, as a posting of 20,000 has 25 of: unlike sets come to nothing in bounded time."""
+    rng = np.random.default_rng(10)
+    n = 2 * op8.CELL_ROWS
+    low, marks = rng.integers(0, 256, (n, 64), dtype=np.uint8), rng.integers(0, 256, (n, 64), dtype=np.uint8)
+    low[:, :32] = low[0, :32]
+    root = rng.integers(0, 2000, n)
+    asking = np.arange(n) < op8.CELL_ROWS
+    cell = op8.Cell(np.arange(n), root, np.full(n, 120), [a.tobytes() + b.tobytes() for a, b in zip(low, marks, strict=True)], asking, ~asking, np.full(n, -1))
+    began = time.monotonic()
+    assert list(cell.pairs(8)) == []
+    assert time.monotonic() - began < 60
+
+
 def test_packer_and_pieces():
     assert cut(5, 4) == [(0, 1), (1, 4)] and cut(8, 4) == [(0, 4), (4, 4)] and cut(1, 4) == [(0, 1)]
     rng = random.Random(2)
