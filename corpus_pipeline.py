@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import Scratch, bounded_batches, table, text_bytes
+from auditlake.llm.common import Scratch, importable, short, table, text_bytes
 from auditlake.llm.op4_suffix_dedup import kept_parts, merged, with_stretches
 from auditlake.llm.op6_language import UNDETERMINED, training_sample, with_language
 from auditlake.llm.op7_secrets import redacted, scanned
@@ -41,9 +41,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat go; a document of which nothing is left goes."""
     columns, schema = docs.columns, docs.schema
+    at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches, at):
             texts = []
             for raw, cut in zip(text_bytes(batch.column("text")), batch.column("_auditlake_cut").to_pylist(), strict=True):
                 # A code point that a cut splits goes too.
@@ -55,7 +56,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by a mark; all documents stay."""
-    bounded_batches(spark)
+    importable(spark)
     columns, schema = docs.columns, docs.schema
     at = columns.index("text")
 
