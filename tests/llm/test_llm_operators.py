@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 from auditlake.llm import op4_suffix_dedup as op4
 from auditlake.llm import op5_chat as op5
 from auditlake.llm import op8_neardup as op8
+from auditlake.llm import op10_search as op10
 from auditlake.llm.bpe import encoder
 from auditlake.llm.op1_bpe import decode_ids, encode_texts, round_trip_digests
 from auditlake.llm.op2_quality import prior, quality_rows, read, train
@@ -423,3 +424,43 @@ def test_op10(docs, empty, edge):
                 scores.append((-round(s, 6), d))
         assert got[q] == [(d, -s) for s, d in sorted(scores)[:5]]
     assert top_documents(empty, empty.select(F.col("doc_id").alias("query_id"), "text")).count() == 0
+
+
+def test_op10_repeated_queries(spark, monkeypatch):
+    """Queries that repeat are one, different texts under one id are each ranked, in one block of queries and in many."""
+    rng = random.Random(12)
+    docs = [(i % 150, " ".join(f"w{int(rng.paretovariate(0.7)) % 90}" for _ in range(rng.randint(1, 40)))) for i in range(200)]
+    asked = [docs[0], docs[0], docs[150], *docs[1:20]]
+    bags = [(d, collections.Counter(terms_of(t.encode()).tolist())) for d, t in docs]
+    n, mean = len(bags), sum(sum(b.values()) for _, b in bags) / len(bags)
+    df = collections.Counter(t for _, b in bags for t in b)
+    want = collections.Counter()
+    for q, text in set(asked):
+        terms = set(terms_of(text.encode()).tolist())
+        scores = sorted((-round(sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * b[t] * 2.2 / (b[t] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for t in terms if t in b), 6), d) for d, b in bags)
+        want.update((q, i + 1, -s) for i, (s, _) in enumerate(x for x in scores[:10] if x[0]))
+    frame, queries = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(asked, "query_id long, text string")
+    for block, shard in ((1024, 4096), (2, 16)):
+        monkeypatch.setattr(op10, "GROUP_QUERIES", block)
+        monkeypatch.setattr(op10, "SHARD_DOCS", shard)
+        monkeypatch.setattr(op10, "BLOCK_DOCS", 4)
+        monkeypatch.setattr(op10, "HELD_GROUPS", 2)
+        got = collections.Counter((r["query_id"], r["rank"], round(r["score"], 6)) for r in top_documents(frame, queries).collect())
+        assert got == want
+
+
+def test_op10_pivots_skip_blocks():
+    """Blocks below the risen threshold are not scored, and the best are those of a full scan."""
+    rng = np.random.default_rng(13)
+    terms = [rng.integers(100 * (i // 50), 100 * (i // 50) + 60, 30) for i in range(1000)]
+    row = dict(zip((c.split()[0] for c in op10.INDEX.split(", ")), op10.build(list(range(1000)), terms), strict=True))
+    shard = op10.Shard.load(row, 30.0)
+    asked = np.unique(np.concatenate([terms[3], terms[500][:3]]))
+    idf = np.ones(len(asked))
+    scored = []
+    own = shard._scores
+    shard._scores = lambda r, f: scored.append(np.unique(shard.run_block[r])) or own(r, f)
+    got = shard.search(asked, idf, 0.0, 5)
+    full = own(np.arange(len(shard.run_block)), np.isin(np.repeat(shard.terms, np.diff(shard.run_offsets)), asked).astype(float))
+    assert [round(s, 9) for s, _ in got] == [round(float(s), 9) for s in np.sort(full)[::-1][:5]]
+    assert 0 < sum(map(len, scored)) < shard.n_blocks
