@@ -6,9 +6,13 @@ its anchor; equal windows have equal anchors at equal places, so only suffixes t
 that occurs twice are compared at all. Anchors that occur in equal surroundings (all bytes that a window
 around them can hold) are repeated as a whole. Of the others, one per surrounding is sorted with those of
 its anchor: the suffixes that start there, and the reversed prefixes that end there. Deep-shallow sorting
-orders them: a multikey quicksort, eight bytes a step and all groups at once, to a shallow depth; then
-blind tries for the groups that still have a common prefix. Neighbours' common prefix lengths then tell,
-for each place of the window around the anchor, which suffixes and prefixes agree far enough.
+orders them: a multikey quicksort (three-way partition about a pivot, eight bytes a step and all groups at
+once) to a shallow depth; then blind tries for the groups that still have a common prefix. Neighbours'
+common prefix lengths, compared byte by byte, then tell, for each place of the window around the anchor,
+which suffixes and prefixes agree far enough.
+
+Equal surroundings are told by 192 bits of hashes (of the anchor, and two of the surroundings), rows by a
+128-bit digest of doc_id and text.
 
 A group of more surroundings than MAX_GROUP is dealt out by whole windows instead, so no group has to fit
 one task. A null text counts as empty; a repeated row is another copy of its text; texts have no length
@@ -81,10 +85,13 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 _UP = powers(_M1, 2 * CHUNK)
 _DOWN = powers(np.uint64(pow(int(_M1), -1, 1 << 64)), 2 * CHUNK)
+#: Of a second, independent hash.
+_BYTE_2 = np.random.default_rng(41).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_UP_2, _DOWN_2 = powers(_M2, 2 * CHUNK), powers(np.uint64(pow(int(_M2), -1, 1 << 64)), 2 * CHUNK)
 
 
 def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, place, tail, hash, context) of every anchor of the texts' windows."""
+    """(text, place, tail, hash, context, second) of every anchor of the texts' windows."""
     group: list[int] = []
     size = 0
 
@@ -134,24 +141,30 @@ def _anchors(block: np.ndarray, owners: np.ndarray, sizes: np.ndarray, base: int
     context = ((sums[high] - sums[low]) * _DOWN[low] + (at - low).astype(np.uint64)) * _M2
     context ^= context >> np.uint64(32)
     context = (context * _M1) ^ (high - low).astype(np.uint64)
-    return owners[own], at - starts[own] + base, high - at, h[at].view(np.int64), context.view(np.int64)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE_2[block] * _UP_2[: len(block)])])
+    second = (sums[high] - sums[low]) * _DOWN_2[low]
+    return owners[own], at - starts[own] + base, high - at, h[at].view(np.int64), context.view(np.int64), second.view(np.int64)
+
+
+def row_key() -> F.Column:
+    """Rows are known by doc_id and text, so equal rows share a key."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("|"), F.coalesce("text", F.lit("")))))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(key, text): rows are known by doc_id and text, so equal rows share a key."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(row_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def all_anchors(docs: DataFrame) -> DataFrame:
-    """(key, place, tail, hash, context): `tail` bytes of the text from the anchor on, at most a window."""
+    """(key, place, tail, hash, context, second): `tail` bytes of the text from the anchor on, at most a window."""
+    names = ["key", "place", "tail", "hash", "context", "second"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in short(batches, 1):
-            keys = batch.column(0).to_numpy()
-            for own, at, tail, h, context in anchors(text_bytes(batch.column(1))):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(at, pa.int64()), pa.array(tail.astype(np.int32)), pa.array(h), pa.array(context)], names=["key", "place", "tail", "hash", "context"])
+            for own, at, tail, h, context, second in anchors(text_bytes(batch.column(1))):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array(at, pa.int64()), pa.array(tail.astype(np.int32)), pa.array(h), pa.array(context), pa.array(second)], names=names)
 
-    return _keyed(docs).mapInArrow(run, "key long, place long, tail int, hash long, context long")
+    return _keyed(docs).mapInArrow(run, "key binary, place long, tail int, hash long, context long, second long")
 
 
 def surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -167,10 +180,10 @@ def surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
                     at = [x["place"] for x in part]
                     left = [min(p, SPAN - 1) for p in at]
                     around = [text[p - n : p + WINDOW] for p, n in zip(at, left, strict=True)]
-                    cols = [pa.array([x["hash"] for x in part], pa.int64()), pa.array([key] * len(part), pa.int64()), pa.array(at, pa.int64()), pa.array(left, pa.int32()), pa.array(around, pa.binary()), *(pa.array([x[c] for x in part], pa.bool_()) for c in ("once", "big"))]
+                    cols = [pa.array([x["hash"] for x in part], pa.int64()), pa.array([key] * len(part), pa.binary()), pa.array(at, pa.int64()), pa.array(left, pa.int32()), pa.array(around, pa.binary()), *(pa.array([x[c] for x in part], pa.bool_()) for c in ("once", "big"))]
                     yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return _keyed(docs).join(places, "key").select("key", "text", "found").mapInArrow(run, "hash long, key long, place long, left int, around binary, once boolean, big boolean")
+    return _keyed(docs).join(places, "key").select("key", "text", "found").mapInArrow(run, "hash long, key binary, place long, left int, around binary, once boolean, big boolean")
 
 
 class BlindTrie:
@@ -238,45 +251,51 @@ def deep_shallow(group: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np
     """Order of equally long strings (rows of bytes) within groups that stand together, and the common
     prefix of each with the one before it in that order (0 for the first of a group)."""
     n, width = strings.shape
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     words = np.ascontiguousarray(strings).view(">u8").astype(np.uint64)
     order = np.argsort(group, kind="stable")
-    part = np.cumsum(np.concatenate([[0], (np.diff(group[order]) != 0).astype(np.int64)])) if n else np.empty(0, np.int64)
-    common = np.zeros(n, np.int64)
-    # Multikey quicksort: rows of a part of more than one go on to the next eight bytes.
-    for w in range(SHALLOW // 8):
-        size = np.bincount(part, minlength=int(part[-1]) + 1) if n else np.empty(0, np.int64)
-        todo = np.flatnonzero(size[part] > 1)
+    part = np.cumsum(np.concatenate([[0], np.diff(group[order]) != 0]))
+    depth = np.zeros(int(part[-1]) + 1, np.int64)
+    # Multikey quicksort of all parts at once: rows below, equal to and above the part's pivot part ways, and equal ones go
+    # on to their next eight bytes, until a part is one row or shallow depth is reached.
+    while True:
+        size = np.bincount(part)
+        todo = np.flatnonzero(((size > 1) & (depth < SHALLOW // 8))[part])
         if not len(todo):
             break
-        value = words[order[todo], w]
-        by = np.lexsort((value, part[todo]))
-        order[todo], value = order[todo][by], value[by]
-        new = np.zeros(n, bool)
-        same = part[todo][1:] == part[todo][:-1]
-        differ = np.concatenate([[False], same & (value[1:] != value[:-1])])
-        new[todo[differ]] = True
-        x = value[1:] ^ value[:-1]
-        bits = np.zeros(len(todo), np.int64)
-        nonzero = np.flatnonzero(x)
-        bits[nonzero + 1] = np.floor(np.log2(x[nonzero].astype(np.float64) * (1 - 1e-15))).astype(np.int64) + 1
-        # Exact where rounding to a double may have crossed a power of two.
-        for i in nonzero[(bits[nonzero + 1] & 7 == 0) | (bits[nonzero + 1] & 7 == 1)].tolist():
-            bits[i + 1] = int(x[i]).bit_length()
-        common[todo[differ]] = w * 8 + 8 - (bits[differ] + 7) // 8
-        part = part + np.cumsum(new)
+        own = part[todo]
+        word = words[order[todo], depth[own]]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        count = size[own[first]]
+        three = np.sort(np.stack([word[first], word[first + count // 2], word[first + count - 1]]), axis=0)
+        pivot = np.repeat(three[1], count)
+        side = (word > pivot).astype(np.int64) - (word < pivot) + 1
+        by = np.argsort(own * 3 + side, kind="stable")
+        order[todo], side = order[todo][by], side[by]
+        # Parts are numbered anew; those of pivots are a word deeper.
+        key = part * 3 + 1
+        key[todo] = own * 3 + side
+        deeper = depth[part]
+        deeper[todo] += side == 1
+        cut = np.concatenate([[True], key[1:] != key[:-1]])
+        part, depth = np.cumsum(cut) - 1, deeper[cut]
     # Blind tries for what is still together.
-    if n:
-        size = np.bincount(part, minlength=int(part[-1]) + 1)
-        starts = np.cumsum(size) - size
-        for p in np.flatnonzero(size > 1).tolist():
-            a, b = int(starts[p]), int(starts[p] + size[p])
-            trie = BlindTrie()
-            for row in order[a:b].tolist():
-                trie.add(strings[row].tobytes(), row)
-            for k, (row, shared) in enumerate(trie.ordered()):
-                order[a + k] = row
-                if k:
-                    common[a + k] = shared
+    size = np.bincount(part)
+    starts = np.cumsum(size) - size
+    for p in np.flatnonzero(size > 1).tolist():
+        a, b = int(starts[p]), int(starts[p] + size[p])
+        trie = BlindTrie()
+        for row in order[a:b].tolist():
+            trie.add(strings[row].tobytes(), row)
+        order[a:b] = [row for row, _ in trie.ordered()]
+    # Neighbours are compared byte by byte.
+    common = np.zeros(n, np.int64)
+    for a in range(1, n, 4096):
+        x, y = strings[order[a : a + 4096]], strings[order[a - 1 : a + 4095][: len(order[a : a + 4096])]]
+        differ = x != y
+        common[a : a + 4096] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    common[np.flatnonzero(np.diff(group[order])) + 1] = 0
     return order, common
 
 
@@ -313,7 +332,7 @@ def repeated_windows(group: np.ndarray, left: np.ndarray, around: list[bytes]) -
     return out
 
 
-def _stretches(key: int, place: int, starts: np.ndarray) -> list[tuple[int, int, int]]:
+def _stretches(key: bytes, place: int, starts: np.ndarray) -> list[tuple[bytes, int, int]]:
     """(key, from, to) of the bytes of the windows that start `starts` bytes before a place."""
     at = place - np.flatnonzero(starts)[::-1]
     if not len(at):
@@ -328,12 +347,13 @@ def sorted_stretches(rows: DataFrame) -> DataFrame:
     def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
         # A row that is repeated has brought its anchors more than once.
-        ids = np.stack([t.column(c).to_numpy() for c in ("hash", "key", "place")], axis=1)
-        t = t.take(np.sort(np.unique(ids, axis=0, return_index=True)[1]))
+        keys = t.column("key").to_pylist()
+        ids = list(zip(t.column("hash").to_pylist(), keys, t.column("place").to_pylist(), strict=True))
+        t = t.take(sorted({x: i for i, x in enumerate(ids)}.values()))
         group = np.unique(t.column("hash").to_numpy(), return_inverse=True)[1]
         hits = repeated_windows(group, t.column("left").to_numpy().astype(np.int64), t.column("around").to_pylist())
         out = [x for key, place, once, row in zip(t.column("key").to_pylist(), t.column("place").to_pylist(), t.column("once").to_pylist(), hits, strict=True) if once for x in _stretches(key, place, row)]
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["key", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64()))], names=["key", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -353,7 +373,7 @@ def sorted_stretches(rows: DataFrame) -> DataFrame:
         if held:
             yield solve(held)
 
-    return rows.mapInArrow(run, "key long, start long, end long")
+    return rows.mapInArrow(run, "key binary, start long, end long")
 
 
 def windows(rows: DataFrame) -> DataFrame:
@@ -364,9 +384,9 @@ def windows(rows: DataFrame) -> DataFrame:
             for key, place, left, s in zip(*(batch.column(c).to_pylist() for c in ("key", "place", "left", "around")), strict=True):
                 at = range(max(0, len(s) - WINDOW + 1))
                 digest = [hashlib.blake2b(s[i : i + WINDOW], digest_size=16).digest() for i in at]
-                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array([key] * len(digest), pa.int64()), pa.array([place - left + i for i in at], pa.int64())], names=["window", "key", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array([key] * len(digest), pa.binary()), pa.array([place - left + i for i in at], pa.int64())], names=["window", "key", "start"])
 
-    return rows.select("key", "place", "left", "around").mapInArrow(run, "window binary, key long, start long")
+    return rows.select("key", "place", "left", "around").mapInArrow(run, "window binary, key binary, start long")
 
 
 def repeated_stretches(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -375,12 +395,12 @@ def repeated_stretches(docs: DataFrame, scratch: Scratch) -> DataFrame:
     twice = scratch.write(every.groupBy("hash").count().filter("count > 1").select("hash"), "twice")
     found = scratch.write(every.join(twice, "hash"), "found")
     scratch.drop("anchors", "twice")
-    contexts = scratch.write(found.groupBy("hash", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("at")), "contexts")
+    contexts = scratch.write(found.groupBy("hash", "context", "second").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("at")), "contexts")
     groups = scratch.write(contexts.groupBy("hash").agg(F.count("*").alias("size")).filter("size > 1"), "groups")
     # Repeated whole: every window within the surroundings.
     left = F.least("place", F.lit(SPAN - 1))
-    again = contexts.filter("n > 1").select("hash", "context")
-    whole = found.filter(left + F.col("tail") >= WINDOW).join(again, ["hash", "context"]).select("key", (F.col("place") - left).alias("start"), (F.col("place") + F.col("tail")).alias("end"))
+    again = contexts.filter("n > 1").select("hash", "context", "second")
+    whole = found.filter(left + F.col("tail") >= WINDOW).join(again, ["hash", "context", "second"]).select("key", (F.col("place") - left).alias("start"), (F.col("place") + F.col("tail")).alias("end"))
     whole = scratch.write(whole, "whole")
     # One of each surroundings is sorted with the others of its anchor.
     chosen = contexts.join(groups, "hash").select("at.key", F.struct("at.place", "hash", (F.col("n") == 1).alias("once"), (F.col("size") > MAX_GROUP).alias("big")).alias("x"))
@@ -411,11 +431,11 @@ def with_stretches(docs: DataFrame) -> DataFrame:
     importable(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     # A row that is repeated as it is (same doc_id, same text) stands in another place: all of it goes.
-    copies = docs.filter(F.octet_length("text") >= WINDOW).groupBy(F.xxhash64("doc_id", "text").alias("_auditlake_key")).agg(F.count("*").alias("_auditlake_copies")).filter("_auditlake_copies > 1")
+    copies = docs.filter(F.octet_length("text") >= WINDOW).groupBy(row_key().alias("_auditlake_key")).agg(F.count("*").alias("_auditlake_copies")).filter("_auditlake_copies > 1")
     stretches = repeated_stretches(docs, scratch).withColumnRenamed("key", "_auditlake_key").withColumnRenamed("cut", "_auditlake_cut")
     copies = scratch.write(copies, "copies")
     marks = stretches.join(copies, "_auditlake_key", "full_outer")
-    return docs.withColumn("_auditlake_key", F.xxhash64("doc_id", "text")).join(marks, "_auditlake_key", "left").withColumn("_auditlake_cut", F.when(F.col("_auditlake_copies").isNotNull(), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end")))).otherwise(F.col("_auditlake_cut"))).drop("_auditlake_key", "_auditlake_copies")
+    return docs.withColumn("_auditlake_key", row_key()).join(marks, "_auditlake_key", "left").withColumn("_auditlake_cut", F.when(F.col("_auditlake_copies").isNotNull(), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end")))).otherwise(F.col("_auditlake_cut"))).drop("_auditlake_key", "_auditlake_copies")
 
 
 def kept_parts(text: bytes, cut: list[tuple[int, int]]) -> bytes:

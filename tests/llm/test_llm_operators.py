@@ -161,7 +161,7 @@ def test_blind_trie_and_deep_shallow():
 def test_op4_long_text_in_chunks(monkeypatch):
     rng = random.Random(8)
     text = bytes(rng.choice(b"abcdefgh ") for _ in range(5000))
-    whole = {(int(p), int(h), int(c)) for _, at, _, hs, cs in op4.anchors([text]) for p, h, c in zip(at, hs, cs, strict=True)}
+    whole = {(int(p), int(h), int(c)) for _, at, _, hs, cs, _ in op4.anchors([text]) for p, h, c in zip(at, hs, cs, strict=True)}
     monkeypatch.setattr(op4, "CHUNK", 1000)
     parts = [x for x in op4.anchors([text])]
     assert len(parts) > 3
