@@ -2,8 +2,11 @@
 
 A linear-chain conditional random field labels every line content or boilerplate from shape features of
 the line; Viterbi decoding takes the most probable labels of the whole document, and the share of its
-words in content lines decides whether it is kept. The field is trained here: lines of a bounded sample
-of labelled documents carry their document's quality.
+words in content lines decides whether it is kept. The field is trained here on a bounded sample of
+documents of known quality. Their lines' labels are not known, so learning alternates: the field labels the
+lines, the document's quality corrects them (content lines must hold at least CONTENT_SHARE of the words of a
+good document and less of a bad one; the lines nearest to the other label change first), and the field is
+fitted to these label sequences, lines and transitions.
 
 A null text has no words and fails the base rules; rows are independent; without labels of both kinds
 the field keeps its prior weights; texts have no length limit; an empty table gives an empty result;
@@ -21,9 +24,10 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import Interned, importable, intern_words, runs, short, table, text_bytes
 
-#: Bounds of the training sample: documents, and lines of one (longer ones are not learned from).
+#: Bound of the training sample, in documents; all their lines are learned from, in sequences of at most so many.
 TRAIN_DOCS = 800
-TRAIN_LINES = 48
+SEQUENCE_LINES = 64
+ROUNDS = 3
 #: Least share of words in content lines.
 CONTENT_SHARE = 0.5
 WINDOW = 8
@@ -182,21 +186,57 @@ def prior() -> Field:
     return Field(state, np.array([[0.5, -0.5], [-0.5, 0.5]]))
 
 
-def train(documents: list[tuple[np.ndarray, int]], steps: int = 60, pull: float = 0.02) -> Field:
-    """Most likely weights (with a pull to the prior) by gradient steps; marginals come from the
-    forward and backward sums over all documents at once."""
+@dataclass
+class Known:
+    """A training document: features and words of its lines, and its quality."""
+
+    features: np.ndarray
+    words: np.ndarray
+    quality: int
+
+
+def line_labels(field: Field, doc: Known, least: float = CONTENT_SHARE) -> np.ndarray:
+    """The field's labels of a document's lines, changed where they contradict its quality: the lines whose features speak
+    least against it first."""
+    label = field.viterbi(doc.features, np.zeros(len(doc.features), np.int64))
+    total, good = int(doc.words.sum()), int(doc.words[label].sum())
+    gain = field.state[doc.features].sum(axis=1)
+    for i in np.argsort(-gain if doc.quality else gain, kind="stable").tolist():
+        if (good >= least * total) == bool(doc.quality):
+            break
+        if label[i] != bool(doc.quality):
+            label[i] = bool(doc.quality)
+            good += int(doc.words[i]) * (1 if doc.quality else -1)
+    return label
+
+
+def train(documents: list[Known], rounds: int = ROUNDS) -> Field:
+    """A field fitted to documents of both qualities; the prior if there is only one."""
     field = prior()
-    if len({q for _, q in documents}) < 2:
+    if len({d.quality for d in documents}) < 2:
         return field
-    start = prior()
-    n, longest = len(documents), max(len(f) for f, _ in documents)
+    # Both kinds of documents count the same.
+    share = {q: 0.5 / sum(d.quality == q for d in documents) for q in (0, 1)}
+    for _ in range(rounds):
+        sequences = []
+        for d in documents:
+            label = line_labels(field, d).astype(np.int64)
+            sequences += [(d.features[i : i + SEQUENCE_LINES], label[i : i + SEQUENCE_LINES], share[d.quality]) for i in range(0, len(label), SEQUENCE_LINES)]
+        field = fit(sequences)
+    return field
+
+
+def fit(sequences: list[tuple[np.ndarray, np.ndarray, float]], steps: int = 40, pull: float = 0.02) -> Field:
+    """Most likely weights for labelled sequences (features, labels, weight), with a pull to the prior, by gradient steps;
+    marginals come from the forward and backward sums over all sequences at once."""
+    field, start = prior(), prior()
+    n, longest = len(sequences), max(len(f) for f, _, _ in sequences)
     used = np.zeros((longest, n), bool)
     feats = np.zeros((longest, n, len(MEASURES) + 1), np.int64)
-    label = np.array([q for _, q in documents])
-    for j, (f, _) in enumerate(documents):
-        used[: len(f), j], feats[: len(f), j] = True, f
-    # Both kinds of documents count the same.
-    share = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
+    label = np.zeros((longest, n), np.int64)
+    for j, (f, y, _) in enumerate(sequences):
+        used[: len(f), j], feats[: len(f), j], label[: len(f), j] = True, f, y
+    share = np.array([w for _, _, w in sequences])
     moments = [np.zeros(WIDTH), np.zeros((2, 2))]
     for _ in range(steps):
         local = np.zeros((longest, n, 2))
@@ -216,31 +256,34 @@ def train(documents: list[tuple[np.ndarray, int]], steps: int = 60, pull: float
         for t in range(1, longest):
             both = np.exp(ahead[t - 1][:, :, None] + field.move + (local[t] + behind[t])[:, None, :] - total[:, None, None])
             seen = np.zeros((n, 2, 2))
-            seen[np.arange(n), label, label] = 1
+            seen[np.arange(n), label[t - 1], label[t]] = 1
             grads[1] += ((seen - both) * (share * used[t])[:, None, None]).sum(axis=0)
         for w, w0, g, m in ((field.state, start.state, grads[0], moments[0]), (field.move, start.move, grads[1], moments[1])):
-            g = g - pull * (w - w0) / len(documents)
+            g = g - pull * (w - w0) / n
             m += g * g
             w += 0.3 * g / np.sqrt(m + 1e-12)
     return field
 
 
-def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, int]]:
-    """Line features and quality of at most TRAIN_DOCS documents of at most TRAIN_LINES lines."""
+def training_sample(docs: DataFrame, labels: DataFrame) -> list[Known]:
+    """At most TRAIN_DOCS documents of known quality. A doc_id that repeats, as a label or a row, gives one of them."""
     importable(docs.sparkSession)
-    picked = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(TRAIN_DOCS)
+    known = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in short(batches, 1):
             found = []
             for doc, text, quality in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                f = read([text]).features
-                if 0 < len(f) <= TRAIN_LINES:
-                    found.append((doc, int(quality), f.astype(np.uint8).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "quality", "features"])
-
-    rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(run, "doc_id long, quality int, features binary").collect()
-    return [(np.frombuffer(r["features"], np.uint8).reshape(-1, len(MEASURES) + 1).astype(np.int64), r["quality"]) for r in sorted(rows)]
+                r = read([text])
+                if len(r.features):
+                    found.append((doc, int(quality), r.features.astype(np.uint8).tobytes(), r.line_words.astype(np.int32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["doc_id", "quality", "features", "words"])
+
+    # At most TRAIN_DOCS rows on one side, one for each document.
+    rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(run, "doc_id long, quality int, features binary, words binary")
+    one = rows.groupBy("doc_id", "quality").agg(F.min(F.struct("features", "words")).alias("x")).orderBy("doc_id").collect()
+    return [Known(np.frombuffer(r["x"]["features"], np.uint8).reshape(-1, len(MEASURES) + 1).astype(np.int64), np.frombuffer(r["x"]["words"], np.int32), r["quality"]) for r in one]
 
 
 def quality_rows(df: DataFrame, field: Field, least: float = CONTENT_SHARE) -> DataFrame:
