@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -100,8 +101,12 @@ def scan(texts: list[bytes]) -> list[tuple[int, list[Place], list[Place]]]:
     base: list[list[Place]] = [[] for _ in texts]
     near: list[dict[tuple[str, int], Place]] = [{} for _ in texts]
 
+    spaces: dict[int, np.ndarray] = {}
+
     def word_at(i: int, offset: int) -> int:
-        return lines[i].count(b" ", 0, offset + 1) - 1
+        if i not in spaces:
+            spaces[i] = np.flatnonzero(np.frombuffer(lines[i], np.uint8) == 0x20)
+        return int(np.searchsorted(spaces[i], offset, "right")) - 1
 
     def places(piece: bytes) -> Iterator[tuple[int, int]]:
         at = block.find(piece)
