@@ -6,7 +6,7 @@ many short ones under others; the language with the fewest phrases, each weighed
 training text's length, wins. Texts are parsed whole, in blocks that each start a new phrase, so many
 blocks advance together, one character a step.
 
-Learning takes a bounded sample, TRAIN_ROWS rows and TRAIN_CHARS characters a language, of rows with
+Learning takes a bounded sample, TRAIN_PASSAGES passages of PASSAGE characters a language, from rows with
 language, text and doc_id whose crc32(doc_id) mod 5 is not 0. A null text or one without a letter gives
 `und` (score 0), as does every text when nothing could be learned; equal counts go to the first language
 by name; a null doc_id counts as not held out; repeated rows each give a row; an empty table gives an
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import extended, importable, runs, short, table
 
-#: Bounds of the labelled sample, for each language.
-TRAIN_ROWS = 60
-TRAIN_CHARS = 24_000
+#: Bound of the labelled sample, for each language, in passages; every passage of every labelled text may be one.
+TRAIN_PASSAGES = 60
+PASSAGE = 512
 #: Characters parsed as one sequence.
 BLOCK = 512
 #: Codes of characters: 0 none that was learned, 1 anything but letters, then all letters of the sample, the most
@@ -46,17 +46,19 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Sample:
-    """(language, text) of the sample; at most `rows` rows and `chars` characters a language."""
+def training_sample(docs: DataFrame, passages: int = TRAIN_PASSAGES, chars: int = PASSAGE) -> Sample:
+    """(language, text) of the sample; at most `passages` passages of `chars` characters a language."""
     known = docs.filter("lang is not null and text is not null and doc_id is not null").filter(~held_out())
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # Only ids and languages are ranked; each task keeps `rows` of a language before the shuffle.
-    picked = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows).select("doc_id", "lang").distinct()
-    texts = known.join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, chars).alias("text")).distinct().collect()
-    by: dict[str, str] = {}
+    last = F.greatest(F.ceil(F.length("text") / chars) - 1, F.lit(0)).cast("int")
+    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", "i"), "doc_id", "i")
+    # Only ids, numbers and languages are ranked; each task keeps `passages` of a language before the shuffle.
+    parts = known.select("doc_id", "lang", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    picked = parts.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= passages).select("doc_id", "lang", "i").distinct()
+    texts = known.join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", F.xxhash64("doc_id", "i").alias("h"), "doc_id", "i", F.substring(F.col("text"), F.col("i") * chars + 1, F.lit(chars)).alias("text")).distinct().collect()
+    by: dict[str, list[str]] = {}
     for r in sorted(texts):
-        by[r["lang"]] = (by.get(r["lang"], "") + " " + r["text"])[:chars]
-    return tuple(sorted(by.items()))
+        by.setdefault(r["lang"], []).append(r["text"])
+    return tuple((lang, " ".join(by[lang])) for lang in sorted(by))
 
 
 class Alphabet:
