@@ -3,8 +3,9 @@
 Documents become token counts; only a document longer than a sequence is cut, into full pieces and one
 shorter first piece. Which lengths share a sequence is planned on the histogram of piece lengths, which
 has at most `capacity` entries whatever the number of documents; the plan is then dealt out to the
-pieces by their number among the pieces of their length. Numbers come from counts by length and salt, so
-a length that a third of all pieces have is never gathered in one task.
+pieces by their number among the pieces of their length. Numbers come from counts by length and salt, of
+which a length has one for every SALT_ROWS pieces, so a length that a third of all pieces have is never
+gathered in one task.
 
 A null text counts as empty (its one id is the end mark); repeated rows are packed each on its own; an
 empty table gives an empty result; a null doc_id stays null; other columns are not read."""
@@ -25,16 +26,18 @@ from auditlake.llm.bpe import NOT_PLAIN, PRE_TOKEN, Encoder, Vocabulary
 from auditlake.llm.common import Scratch, importable, short, table
 
 CAPACITY = 2048
-#: Salts over which the pieces of one length are numbered.
-SALTS = 64
+#: Pieces of one length that are numbered in one task; a length of more is dealt over as many salts.
+SALT_ROWS = 1_000_000
+#: Rows of the plan that are broadcast at most; each combination but the last few exhausts a length.
+PLAN_ROWS = 1 << 20
 
 
 class Packer:
     """Plans sequences on counts of lengths 1..capacity.
 
     Sequences that are exactly full come first: for each length, longest first, the rest of the
-    sequence is looked up among single lengths, sums of two and sums of three that are still in
-    supply. What is left is packed longest first into the open sequence with the least room that
+    sequence is looked up among single lengths and in an index of the sums of two and of three, and
+    combinations are consumed as far as the supply allows. What is left is packed longest first into the open sequence with the least room that
     still takes it. Open sequences of the same contents are handled as one with a count."""
 
     def __init__(self, counts: np.ndarray, capacity: int) -> None:
@@ -54,13 +57,32 @@ class Packer:
             self.plan.append((lengths, times))
         return times
 
+    def index(self) -> None:
+        """The sums of two and of three lengths in supply: the greater lengths of the pairs of each sum, and the greatest
+        lengths of the triples of each sum, both descending."""
+        cap = self.capacity
+        lengths = np.flatnonzero(self.left[: cap + 1])
+        a, b = np.meshgrid(lengths, lengths, indexing="ij")
+        fits = (a >= b) & (a + b < cap)
+        a, total = a[fits], (a + b)[fits]
+        by = np.lexsort((-a, total))
+        self.pair, self.pair_at = a[by], np.searchsorted(total[by], np.arange(cap + 2))
+        # A triple is its greatest length and a pair of the rest, of which neither is greater.
+        least = np.full(cap + 1, cap + 1)
+        np.minimum.at(least, total, a)
+        greatest, rest = np.meshgrid(lengths, np.flatnonzero(least <= cap), indexing="ij")
+        fits = (greatest + rest < cap) & (least[rest] <= greatest)
+        greatest, total = greatest[fits], (greatest + rest)[fits]
+        by = np.lexsort((-greatest, total))
+        self.triple, self.triple_at = greatest[by], np.searchsorted(total[by], np.arange(cap + 2))
+
     def pairs(self, gap: int, top: int) -> list[tuple[int, int]]:
-        """Two lengths in supply that sum to the gap, neither above `top`."""
-        a = np.arange(max(1, gap - top), gap // 2 + 1)
-        if not len(a):
+        """Two lengths that sum to the gap, neither above `top`, from the index; those still in supply."""
+        if gap < 2:
             return []
-        fits = a[(self.left[a] > 0) & (self.left[gap - a] > 0)]
-        return [(gap - int(x), int(x)) for x in fits]
+        a = self.pair[self.pair_at[gap] : self.pair_at[gap + 1]]
+        a = a[(a <= top) & (self.left[a] > 0) & (self.left[gap - a] > 0)]
+        return [(x, gap - x) for x in a.tolist()]
 
     def exact(self) -> None:
         cap = self.capacity
@@ -68,6 +90,7 @@ class Packer:
         for n in range(cap - 1, 0, -1):
             if self.left[n] and self.left[cap - n]:
                 self.take((n, cap - n))
+        self.index()
         for n in range(cap - 2, 0, -1):
             if self.left[n]:
                 for pair in self.pairs(cap - n, n):
@@ -76,10 +99,12 @@ class Packer:
                         break
         for n in range(cap - 3, 0, -1):
             gap = cap - n
-            for b in range(min(n, gap - 2), 0, -1):
+            if not self.left[n]:
+                continue
+            for b in self.triple[self.triple_at[gap] : self.triple_at[gap + 1]].tolist():
                 if not self.left[n]:
                     break
-                if self.left[b]:
+                if b <= n and self.left[b]:
                     for pair in self.pairs(gap - b, b):
                         self.take((n, b, *pair))
                         if not self.left[n] or not self.left[b]:
@@ -184,19 +209,23 @@ def pack(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int =
     spark = df.sparkSession
     scratch = Scratch(spark)
     cuts = scratch.write(pieces(df, vocabulary, capacity, end_id), "pieces")
-    salted = cuts.withColumn("_salt", F.pmod(F.xxhash64("row_key", "piece"), F.lit(SALTS)).cast("int"))
-    # At most capacity * SALTS rows, by construction.
-    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
-    held = counts.collect()
+    # At most a row for each length, by construction.
+    counts = {r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     histogram = np.zeros(capacity + 1, np.int64)
-    for r in held:
-        histogram[r["length"]] += r["n"]
+    for n, k in counts.items():
+        histogram[n] = k
+    salts = spark.createDataFrame([(n, -(-k // SALT_ROWS)) for n, k in counts.items()], "length long, _salts long")
+    salted = cuts.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("row_key", "piece"), F.col("_salts")).cast("int"))
+    # A row for each length and one more for every SALT_ROWS pieces of it.
     base, seen = [], {}
-    for n, salt, k in sorted((r["length"], r["_salt"], r["n"]) for r in held):
-        base.append((n, salt, seen.get(n, 0)))
-        seen[n] = seen.get(n, 0) + k
+    for r in salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).orderBy("length", "_salt").collect():
+        base.append((r["length"], r["_salt"], seen.get(r["length"], 0)))
+        seen[r["length"]] = seen.get(r["length"], 0) + r["n"]
     bases = spark.createDataFrame(base, "length long, _salt int, _base long")
-    plan = spark.createDataFrame(slots(Packer(histogram, capacity).run()), "length long, _from long, _to long, _sequence long, offset long")
+    rows = slots(Packer(histogram, capacity).run())
+    if len(rows) > PLAN_ROWS:
+        raise ValueError(f"a plan of {len(rows)} rows is too large to broadcast")
+    plan = spark.createDataFrame(rows, "length long, _from long, _to long, _sequence long, offset long")
     within = W.partitionBy("length", "_salt").orderBy("row_key", "piece")
     numbered = salted.withColumn("_n", F.row_number().over(within).cast("long") - 1).join(F.broadcast(bases), ["length", "_salt"]).withColumn("_n", F.col("_n") + F.col("_base"))
     p = F.broadcast(plan.withColumnRenamed("length", "_length"))
