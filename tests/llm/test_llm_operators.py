@@ -2,10 +2,12 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -18,11 +20,14 @@ from auditlake.llm import op5_chat as op5
 from auditlake.llm import op8_neardup as op8
 from auditlake.llm import op10_search as op10
 from auditlake.llm.bpe import encoder
+from auditlake.llm.queries import queries
 from auditlake.llm.op1_bpe import decode_ids, encode_texts, round_trip_digests
-from auditlake.llm.op2_quality import prior, quality_rows, read, train
-from auditlake.llm.op3_licenses import license_digest, license_places
+from auditlake.llm.op2_quality import Field, Known, line_labels, prior, quality_rows, read, train
+from auditlake.llm.op2_quality import training_sample as quality_sample
+from auditlake.llm.op3_licenses import NOTICES, PHRASES, license_digest, license_places
+from auditlake.llm.op3_licenses import scan as scan_licenses
 from auditlake.llm.op6_language import Parser, suffix_automaton, training_sample, with_language
-from auditlake.llm.op7_secrets import RULES, _leaves, digest_spans, redacted, secret_spans, trigram_query
+from auditlake.llm.op7_secrets import RULES, _leaves, digest_spans, redacted, scanner, secret_spans, trigram_query
 from auditlake.llm.op8_neardup import near_duplicates
 from auditlake.llm.op9_packing import Packer, cut, pack, slots, token_ids
 from auditlake.llm.op10_search import terms_of, top_documents
@@ -76,10 +81,43 @@ def test_op2(docs, empty, edge):
 
 
 def test_op2_learns():
-    good, bad = read([b"plain words of a text that goes on and on for long enough"]).features, read([b"some### text*** with%%% marks&&& after### each$$$ word***"]).features
-    field = train([(good, 1)] * 5 + [(bad, 0)] * 5)
-    assert field.viterbi(np.concatenate([good, bad, good]), np.array([0, 0, 1])).tolist() == [True, False, True]
-    assert np.array_equal(train([(good, 1)]).state, prior().state)
+    """Lines are labelled, not documents: junk lines in good documents and plain ones in bad ones keep their own label."""
+    plain, junk = "plain words of a text that goes on and on for long enough", "some### text*** with%%% marks&&& after### each$$$ word***"
+    read_ = lambda *lines, q: Known((r := read(["\n".join(lines).encode()])).features, r.line_words, q)
+    field = train([read_(plain, plain, junk, plain, q=1)] * 5 + [read_(junk, plain, junk, junk, q=0)] * 5 + [read_(plain, q=1), read_(junk, q=0)])
+    mixed = read_(junk, plain, plain, plain, junk, junk, q=1)
+    assert field.viterbi(mixed.features, np.zeros(6, np.int64)).tolist() == [False, True, True, True, False, False]
+    assert np.array_equal(train([read_(plain, q=1)]).state, prior().state)
+
+
+def test_op2_labels_obey_the_quality():
+    rng = np.random.default_rng(3)
+    for quality in (0, 1):
+        for _ in range(50):
+            doc = Known(read([b"a### b\nplain words here\nC!!! D!!! E!!!\nx y z"]).features[rng.integers(0, 4, 7)], rng.integers(1, 30, 7).astype(np.int32), quality)
+            label = line_labels(prior(), doc)
+            assert (doc.words[label].sum() >= 0.5 * doc.words.sum()) == bool(quality)
+
+
+def test_op2_viterbi_against_enumeration():
+    rng = np.random.default_rng(5)
+    for _ in range(100):
+        field, n = Field(rng.normal(size=prior().state.size), rng.normal(size=(2, 2))), int(rng.integers(1, 8))
+        feats = rng.integers(0, len(field.state), (n, 4))
+        gain = field.state[feats].sum(axis=1)
+        score = lambda y: sum(g for g, x in zip(gain, y) if x) + sum(field.move[a][b] for a, b in zip(y, y[1:]))  # noqa: B023, E731
+        best = max(itertools.product((0, 1), repeat=n), key=score)
+        assert field.viterbi(feats, np.zeros(n, np.int64)).astype(int).tolist() == list(best)
+
+
+def test_op2_held_out(spark):
+    """Share of held-out labelled documents whose quality the content share tells."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality in (0, 1)")
+    sample = quality_sample(docs, labels.filter("doc_id % 2 = 0"))
+    rows = quality_rows(docs.join(labels.filter("doc_id % 2 = 1"), "doc_id", "left_semi"), train(sample)).join(labels, "doc_id").collect()
+    assert len(rows) > 50 and sum((r["content_share"] >= 0.5) == (r["quality"] == 1) for r in rows) > 0.9 * len(rows)
+    assert all(r["n_content_lines"] + r["n_boilerplate_lines"] > 0 or r["n_words"] == 0 for r in rows)
 
 
 def test_op3(docs, empty, edge):
@@ -464,3 +502,112 @@ def test_op10_pivots_skip_blocks():
     full = own(np.arange(len(shard.run_block)), np.isin(np.repeat(shard.terms, np.diff(shard.run_offsets)), asked).astype(float))
     assert [round(s, 9) for s, _ in got] == [round(float(s), 9) for s in np.sort(full)[::-1][:5]]
     assert 0 < sum(map(len, scored)) < shard.n_blocks
+
+
+def test_long_texts_in_bounded_time():
+    """Two megabytes of a phrase and of a token's start, each in seconds."""
+    began = time.monotonic()
+    (words, base, _), = scan_licenses([b"mit license " * 170_000])
+    assert (words, len(base), base[-1].first_word) == (340_000, 170_000, 339_998)
+    assert time.monotonic() - began < 20
+    began = time.monotonic()
+    assert scanner().scan([b"eyJ" * 700_000]) == [[]]
+    assert time.monotonic() - began < 5
+
+
+def test_op3_against_a_scan_of_all_windows(spark):
+    """Base places and notices with edited words against every window of the text."""
+    rng = random.Random(21)
+    filler = "the of a license mit general public apache under terms software is free to copy".split()
+    texts = []
+    for i in range(60):
+        w = [rng.choice(filler) for _ in range(rng.randint(3, 60))]
+        if i % 2:
+            notice = list(rng.choice(NOTICES)[1])
+            for _ in range(rng.randint(0, 2)):
+                notice[rng.randrange(len(notice))] = rng.choice("abcxyz")
+            w.insert(rng.randrange(len(w)), "".join(notice))
+        texts.append((i, " ".join(w)))
+    got = {r["doc_id"]: r["places"] for r in license_places(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, t in texts:
+        words = re.findall("[a-z0-9]+", t)
+        base = sorted((label, k) for label, phrase in PHRASES for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split())
+        assert base == sorted((p["label"], p["first_word"]) for p in got[i] if p["edits"] == 0 and (p["label"], p["first_word"]) in base)
+        line, labels = " %s " % " ".join(words), set()
+        for label, notice in NOTICES:
+            most = max(1, len(notice) // 15)
+            if least_edits(notice, line) <= most:
+                labels.add(label)
+        found = {p["label"] for p in got[i]} | {b for b, _ in base}
+        assert found == labels | {b for b, _ in base}
+
+
+def least_edits(pattern: str, text: str) -> int:
+    """Fewest edits with which the pattern stands anywhere in the text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern, 1):
+        before, row = row, [i]
+        for j, d in enumerate(text, 1):
+            row.append(min(before[j - 1] + (c != d), before[j] + 1, row[-1] + 1))
+    return min(row)
+
+
+def test_op6_counts_against_a_plain_parse():
+    """Phrases of the automata against longest matches looked up in the training text itself."""
+    rng = random.Random(30)
+    sample = (("aa", "".join(rng.choice("abcd ") for _ in range(400))), ("bb", "".join(rng.choice("abef ") for _ in range(400))), ("cc", "".join(chr(0x4E00 + rng.randrange(90)) for _ in range(400))))
+    p = Parser(sample)
+    texts = ["".join(rng.choice("abcdef xyz") for _ in range(rng.randint(1, 1400))) for _ in range(12)] + ["".join(chr(0x4E00 + rng.randrange(95)) for _ in range(700))]
+    read_ = [p.alphabet.read(t)[0].tolist() for t in texts]
+    counts = p.phrases([np.array(c) for c in read_])
+    for codes, row in zip(read_, counts.tolist(), strict=True):
+        for (_, text), got in zip(sample, row, strict=True):
+            known = "".join(map(chr, p.alphabet.read(text)[0].tolist()))
+            want = 0
+            for i in range(0, len(codes), 512):
+                want, now = want + 1, ""
+                for c in map(chr, codes[i : i + 512]):
+                    if now + c in known:
+                        now += c
+                    else:
+                        want, now = want + 1, c if c in known else ""
+            assert got == want
+
+
+def test_op6_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = with_language(docs.select("doc_id", "lang", "text"), training_sample(docs)).filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).filter("lang is not null").collect()
+    assert len(rows) > 100 and sum(r["lang"] == r["lang_pred"] for r in rows) > 0.95 * len(rows)
+
+
+def test_op9_sum_index():
+    rng = np.random.default_rng(31)
+    counts = np.zeros(65, np.int64)
+    counts[rng.integers(1, 65, 20)] = 3
+    p = Packer(counts, 64)
+    p.index()
+    lengths = np.flatnonzero(counts).tolist()
+    for gap in range(2, 64):
+        assert p.pairs(gap, 64) == sorted(((a, b) for a in lengths for b in lengths if a >= b and a + b == gap), reverse=True)
+        assert p.triple[p.triple_at[gap] : p.triple_at[gap + 1]].tolist() == sorted({a for a in lengths for b in lengths for c in lengths if a >= b >= c and a + b + c == gap}, reverse=True)
+
+
+def test_op9_pieces_against_a_plain_cut(docs, edge, library):
+    got = collections.Counter((-1 if r["doc_id"] is None else r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in pack(docs, PATH, 2048).collect())
+    want = collections.Counter()
+    for d, t in edge:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        at = 0
+        for i in range(-(-len(ids) // 2048)):
+            n = (len(ids) % 2048 or 2048) if i == 0 else 2048
+            want[-1 if d is None else d, i, at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes())] += 1
+            at += n
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["op1_bpe", "op2_quality", "op3_licenses", "op4_suffix_dedup", "op5_perspectives", "op6_language", "op7_secrets", "op8_neardup", "op9_packing", "op10_search"])
+def test_every_query_runs_and_changes_no_option(spark, name):
+    option = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(option)
+    assert queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert spark.conf.get(option) == before
