@@ -27,11 +27,23 @@ def enclosing(lines: DataFrame, key: str = "file_id") -> DataFrame:
     return lines.withColumn("_d", F.last(own, ignorenulls=True).over(above)).withColumn("symbol", F.col("_d.symbol")).withColumn("symbol_line", F.col("_d.symbol_line")).drop("_d")
 
 
-def near_entry(hits: DataFrame, entries: DataFrame) -> DataFrame:
-    """Hits within the band of an entry point of their file, with the first such entry point."""
-    e = entries.select(F.col("file_id").alias("_f"), F.col("line_no").alias("entry_line"), F.col("kind").alias("entry_kind"))
-    on = (F.col("file_id") == F.col("_f")) & F.col("line_no").between(F.col("entry_line") - BEFORE, F.col("entry_line") + AFTER)
-    return hits.join(e, on).groupBy("file_id", "line_no", "kind").agg(F.min(F.struct("entry_line", "entry_kind")).alias("e")).select("file_id", "line_no", "kind", "e.entry_line", "e.entry_kind")
+def around(below: int, above: int) -> W:
+    """The rows of a file from `below` lines before a line to `above` lines after it. A frame over the file's
+    own order keeps the partitions of the line numbers: no join, no further shuffle."""
+    return W.partitionBy("file_id").orderBy("line_no").rangeBetween(-below, above)
+
+
+def entry_near(entry_kinds: list[str]) -> Column:
+    """Of hits of all kinds: the first entry point in whose band a line stands, or null."""
+    entry = F.when(F.col("kind").isin(entry_kinds), F.struct(F.col("line_no").alias("entry_line"), F.col("kind").alias("entry_kind")))
+    return F.min(entry).over(around(AFTER, BEFORE))
+
+
+def near_entry(hits: DataFrame, entry_kinds: list[str]) -> DataFrame:
+    """hits: file_id, line_no, kind, of entry points and others. The others within the band of an entry point
+    of their file, with the first such entry point."""
+    near = hits.withColumn("e", entry_near(entry_kinds)).filter(~F.col("kind").isin(entry_kinds) & F.col("e").isNotNull())
+    return near.select("file_id", "line_no", "kind", "e.entry_line", "e.entry_kind")
 
 
 def call_edges(lines: DataFrame) -> DataFrame:
@@ -61,16 +73,49 @@ def assigned(line: Column) -> Column:
     return F.nullif(F.regexp_extract(line, ASSIGNMENT, 1), F.lit(""))
 
 
-def taint_flows(sinks: DataFrame, sources: DataFrame, radius: int = TAINT_RADIUS) -> DataFrame:
-    """sinks: file_id, line_no, kind, line. sources: the same, one row a line. A source line within the
-    radius reaches a sink line that uses the variable it assigns, or any if it assigns none; a variable
-    assigned again counts for its last source. One flow a sink line, source kind and sink kind."""
-    s = sources.select(F.col("file_id").alias("_f"), F.col("line_no").alias("source_line"), F.col("kind").alias("source_kind"), assigned(F.col("line")).alias("variable"))
-    near = sinks.join(s, (F.col("file_id") == F.col("_f")) & F.col("source_line").between(F.col("line_no") - radius, F.col("line_no") + radius))
-    own = F.coalesce("variable", F.concat(F.lit("#"), F.col("source_line").cast("string")))
-    last = near.groupBy("file_id", "line_no", "kind", "line", own.alias("v")).agg(F.max_by("source_kind", "source_line").alias("source_kind"), F.max("variable").alias("variable"))
-    used = F.array_contains(F.regexp_extract_all("line", F.lit(r"([$@]?[A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)), F.col("variable"))
-    return last.filter(F.col("variable").isNull() | used).select("file_id", "line_no", F.col("kind").alias("sink_kind"), "source_kind").distinct()
+NAMES = r"([$@]?[A-Za-z_][A-Za-z0-9_]*)"
+
+
+def sources_near(source_kinds: list[str], radius: int = TAINT_RADIUS) -> Column:
+    """Of hits of all kinds: the sources within the radius of a line (at most one of each kind a line)."""
+    order = F.array_position(F.array(*(F.lit(k) for k in source_kinds)), F.col("kind"))
+    source = F.struct(F.col("line_no").alias("at"), (-order).alias("first"), F.col("kind").alias("source_kind"), assigned(F.col("line")).alias("variable"))
+    return F.collect_list(F.when(F.col("kind").isin(source_kinds), source)).over(around(radius, radius))
+
+
+def reaches_line(variable: Column) -> Column:
+    """Whether a source reaches the line: it assigns no variable, or one that the line uses."""
+    return variable.isNull() | F.array_contains(F.regexp_extract_all("line", F.lit(NAMES), F.lit(1)), variable)
+
+
+def taint_flows(hits: DataFrame, source_kinds: list[str], radius: int = TAINT_RADIUS) -> DataFrame:
+    """hits: file_id, line_no, kind, line, of sources (kinds in order of precedence) and sinks. A source line
+    within the radius reaches a sink line that uses the variable it assigns, or any if it assigns none; a
+    variable assigned again counts for its last source. One flow a sink line, source kind and sink kind."""
+    near = hits.withColumn("s", sources_near(source_kinds, radius)).filter(~F.col("kind").isin(source_kinds))
+    near = near.select("file_id", "line_no", "kind", "line", F.explode("s").alias("s"))
+    own = F.coalesce("s.variable", F.concat(F.lit("#"), F.col("s.at").cast("string")))
+    last = near.groupBy("file_id", "line_no", "kind", "line", own.alias("v")).agg(F.max("s").alias("s"))
+    return last.filter(reaches_line(F.col("s.variable"))).select("file_id", "line_no", F.col("kind").alias("sink_kind"), "s.source_kind").distinct()
+
+
+def joined_evidence(hits: DataFrame, kinds: dict[str, list[str]], nullifying: list[str], required: list[str], rank: Column) -> DataFrame:
+    """hits: file_id, line_no, line, kind (null where a line has no match). kinds: those of each group.
+    Findings of three families with the evidence that their verdicts read: of each file and kind of sink
+    (flow), and of each file (access, config). `rank` is the severity of a configuration kind."""
+
+    def of(group: str) -> Column:
+        return F.coalesce(F.col("kind").isin(kinds[group]), F.lit(False))
+
+    whole = W.partitionBy("file_id")
+    null = F.coalesce(F.col("kind").isin(nullifying), F.lit(False))
+    reached = F.coalesce(F.exists("s", lambda s: reaches_line(s.variable)), F.lit(False))
+    marked = hits.withColumns({"s": sources_near(kinds["source"]), "e": entry_near(kinds["entry"]), "nullified": F.max(null).over(whole), "soft": F.max(of("mitigation") & ~null).over(whole), "entries": F.max(of("entry")).over(whole)})
+    flow = marked.filter(of("sink")).groupBy("file_id", "kind").agg(*(F.max(c).alias(c) for c in ("nullified", "soft", "entries")), F.max(F.col("e").isNotNull()).alias("reaches"), F.max(reached).alias("taint")).withColumn("family", F.lit("flow"))
+    present = F.count_distinct(F.when(F.col("kind").isin(required), F.col("kind")))
+    files = hits.groupBy("file_id").agg((F.lit(len(required)) - present).alias("missing"), F.max(of("control")).alias("authz"), F.count_if(of("config")).alias("found"), F.coalesce(F.max(F.when(of("config"), rank)), F.lit(0)).alias("top_rank"))
+    files = files.withColumn("checks", F.lit(len(required))).withColumn("family", F.explode(F.array(F.lit("access"), F.lit("config")))).withColumn("kind", F.col("family"))
+    return flow.unionByName(files, allowMissingColumns=True)
 
 
 def required_controls(asked: DataFrame, hits: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake.operators import evidence as E
 from auditlake.operators import patterns as P
-from auditlake.plans.patterns import hits, hits_sql
+from auditlake.plans.patterns import NULLIFY_SQL, SEVERITY_SQL, hits, hits_sql
 from auditlake.registry import query
 from auditlake.sources.derived import code_lines, read, with_sql
 
@@ -28,7 +28,7 @@ def w6_last_definition(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_sql("code_lines", f"WITH {hits_sql('sink')}, entries AS ({P.scan_sql(P.CATALOG['entry'])}) SELECT h.file_id, h.line_no, h.kind, min(e.line_no) AS entry_line, min_by(e.kind, (e.line_no, e.kind)) AS entry_kind FROM hits h JOIN entries e ON e.file_id = h.file_id AND h.line_no BETWEEN e.line_no - 3 AND e.line_no + 5 GROUP BY 1, 2, 3"))
 def j6_entry_band(spark: SparkSession, d: str) -> DataFrame:
-    return E.near_entry(hits(spark, d, "sink"), hits(spark, d, "entry"))
+    return E.near_entry(hits(spark, d, "sink", "entry"), list(P.CATALOG["entry"]))
 
 
 BFS = "".join(
@@ -56,9 +56,7 @@ k AS (SELECT h.*, l.line FROM hits h JOIN code_lines l USING (file_id, line_no))
 v AS (SELECT k.file_id, k.line_no, k.kind, k.line, coalesce(variable, '#' || source_line) AS own, max_by(source_kind, source_line) AS source_kind, max(variable) AS variable FROM k JOIN v0 ON v0.file_id = k.file_id AND source_line BETWEEN k.line_no - 60 AND k.line_no + 60 GROUP BY 1, 2, 3, 4, 5)
 SELECT DISTINCT file_id, line_no, kind AS sink_kind, source_kind FROM v WHERE variable IS NULL OR list_contains(regexp_extract_all(line, '([$@]?[A-Za-z_][A-Za-z0-9_]*)', 1), variable)"""))
 def j8_taint_flows(spark: SparkSession, d: str) -> DataFrame:
-    order = F.array_position(F.array(*(F.lit(k) for k in SOURCE_ORDER)), F.col("kind"))
-    sources = hits(spark, d, "source").groupBy("file_id", "line_no", "line").agg(F.min_by("kind", order).alias("kind"))
-    return E.taint_flows(hits(spark, d, "sink").select("file_id", "line_no", "kind", "line"), sources)
+    return E.taint_flows(hits(spark, d, "sink", "source"), SOURCE_ORDER)
 
 
 REQUIRED = ["login_required", "permission_check", "csrf_protection"]
@@ -182,6 +180,32 @@ def v4_combined_verdict(spark: SparkSession, d: str) -> DataFrame:
     return evidence(spark, d).withColumn("v", v).select("finding_id", "v.status", "v.confidence")
 
 
+RANK_SQL = f"CASE {SEVERITY_SQL} WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"
+VERDICT_SQL = f"CASE family WHEN 'flow' THEN {FLOW_SQL} WHEN 'access' THEN {ACCESS_SQL} ELSE {CONFIG_SQL} END"
+
+
+@query(with_sql("code_lines", f"""WITH {hits_sql('sink')}, src AS ({P.scan_sql(P.CATALOG['source'])}), en AS ({P.scan_sql(P.CATALOG['entry'])}), mi AS ({P.scan_sql(P.CATALOG['mitigation'])}), co AS ({P.scan_sql(P.CATALOG['control'])}), cf AS ({P.scan_sql(P.CATALOG['config'])}),
+var AS (SELECT s.file_id, s.line_no AS src_line, nullif(regexp_extract(l.line, '^\\s*(?:let |var |const |final )?([$@]?[A-Za-z_][A-Za-z0-9_]*)\\s*:?=\\s*([^=].*)$', 1), '') AS variable FROM src s JOIN code_lines l USING (file_id, line_no)),
+k AS (SELECT h.*, l.line FROM hits h JOIN code_lines l USING (file_id, line_no)),
+reach AS (SELECT DISTINCT k.file_id, k.kind FROM k JOIN en ON en.file_id = k.file_id AND k.line_no BETWEEN en.line_no - 3 AND en.line_no + 5),
+taint AS (SELECT DISTINCT k.file_id, k.kind FROM k JOIN var ON var.file_id = k.file_id AND src_line BETWEEN k.line_no - 60 AND k.line_no + 60 WHERE variable IS NULL OR list_contains(regexp_extract_all(k.line, '([$@]?[A-Za-z_][A-Za-z0-9_]*)', 1), variable)),
+ev AS (SELECT f.file_id, f.kind, 'flow' AS family, f.file_id IN (SELECT file_id FROM mi WHERE {NULLIFY_SQL}) AS nullified, f.file_id IN (SELECT file_id FROM mi WHERE NOT ({NULLIFY_SQL})) AS soft, r.kind IS NOT NULL AS reaches, t.kind IS NOT NULL AS taint, f.file_id IN (SELECT file_id FROM en) AS entries, NULL AS checks, NULL AS missing, NULL AS authz, NULL AS found, NULL AS top_rank
+  FROM (SELECT DISTINCT file_id, kind FROM hits) f LEFT JOIN reach r ON r.file_id = f.file_id AND r.kind = f.kind LEFT JOIN taint t ON t.file_id = f.file_id AND t.kind = f.kind
+  UNION ALL SELECT a.file_id, family, family, NULL, NULL, NULL, NULL, NULL, 3, 3 - coalesce(c.present, 0), c.file_id IS NOT NULL, coalesce(g.found, 0), coalesce(g.top_rank, 0)
+  FROM (SELECT DISTINCT file_id, unnest(['access', 'config']) AS family FROM code_lines) a
+  LEFT JOIN (SELECT file_id, count(DISTINCT kind) FILTER (kind IN ('login_required', 'permission_check', 'csrf_protection')) AS present FROM co GROUP BY 1) c ON c.file_id = a.file_id
+  LEFT JOIN (SELECT file_id, count(*) AS found, max({RANK_SQL}) AS top_rank FROM cf GROUP BY 1) g ON g.file_id = a.file_id)
+SELECT file_id, family, kind, v.s AS status, CAST(v.c AS DOUBLE) AS confidence FROM (SELECT *, {VERDICT_SQL} AS v FROM ev)"""))
+def v4_joined_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts over the evidence that the scans of the files themselves give, in one scan of all kinds."""
+    groups = {g: list(P.CATALOG[g]) for g in ("sink", "source", "entry", "mitigation", "control", "config")}
+    found = P.scan(code_lines(spark, d), {k: p for g in groups for k, p in P.CATALOG[g].items()}, keep=True)
+    rank = F.element_at(F.create_map(*(F.lit(x) for pair in (("critical", 4), ("high", 3), ("medium", 2), ("low", 1)) for x in pair)), P.severity(F.col("kind")))
+    ev = E.joined_evidence(found, groups, list(P.NULLIFYING), REQUIRED, rank)
+    v = E.combined_verdict(F.col("family"), _flow(), _access(), _config(), F.lit(False), F.lit(False))
+    return ev.withColumn("v", v).select("file_id", "family", "kind", "v.status", "v.confidence")
+
+
 #: Stages of each family, in order. Fixed values.
 ROUTES = {"flow": ["entry_points", "trace", "taint", "mitigations", "verdict"], "access": ["entry_points", "authz", "verdict"], "config": ["config_audit", "verdict"]}
 
