@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ import oracle
 from auditlake import registry
 from auditlake.functions import jsonfix as J
 from auditlake.functions import names as N
+from auditlake.operators import evidence as E
 from auditlake.operators import index as I
 from auditlake.operators import models as M
 from auditlake.operators import patterns as P
@@ -176,3 +178,23 @@ def test_source_tree_and_catalog(spark, tmp_path):
     (tmp_path / "cat" / "one.json").write_text(json.dumps(good))
     (tmp_path / "cat" / "two.json").write_text(json.dumps(good | {"patterns": []}))
     assert [r["tag"] for r in S.catalog(spark, str(tmp_path / "cat")).collect()] == ["one"]
+
+
+def test_strings_that_a_match_needs():
+    assert P.needed(r"(check|has)_permission\(") == ["_permission("]
+    assert P.needed(r"pickle\.loads?\(") == ["pickle.load"]
+    assert P.needed(r"(md5|MD5)\(") == ["md5", "MD5"]
+    assert P.needed(r"a+b|[xyz]") == [] and P.needed(r"(a|b*)") == []
+    samples = {"flask": "@my_app.route('/')", "rails": "  get '/x'", "owner": "owner_id != user", "key": "api-key = 'abcdefghijklmnop'", "rsa": "-----BEGIN RSA PRIVATE KEY"}
+    found = {k: [p for kinds in P.CATALOG.values() for ps in kinds.values() for p in ps if re.search(p, s)] for k, s in samples.items()}
+    assert all(found.values())
+    assert all(not P.needed(p) or any(w in samples[k] for w in P.needed(p)) for k, ps in found.items() for p in ps)
+
+
+def test_bands_and_taint_reach_their_edges(spark):
+    at = lambda n, kind, line: (1, n, kind, line)
+    rows = [at(10, "flask", "@app.route("), at(7, "open", "a"), at(6, "open", "b"), at(15, "open", "c"), at(16, "open", "d"), at(76, "open", "run(x)"), at(20, "stdin", "x = input()"), at(137, "open", "run(x)"), at(76, "env", "x = getenv()")]
+    h = spark.createDataFrame(rows, "file_id long, line_no long, kind string, line string")
+    assert {r["line_no"] for r in E.near_entry(h, ["flask"]).filter("kind = 'open'").collect()} == {7, 15}
+    flows = {(r["line_no"], r["source_kind"]) for r in E.taint_flows(h.filter("kind <> 'flask'"), ["stdin", "env"]).collect()}
+    assert flows == {(76, "env")}
