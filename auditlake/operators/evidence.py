@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,6 +71,62 @@ def callers(edges: DataFrame, symbols: DataFrame, max_depth: int = MAX_DEPTH) ->
     return seen
 
 
+#: Lines above a definition at which an entry point's decorator still belongs to it.
+ATTACHED = 4
+
+
+def traced_lines(lines: DataFrame, entries: DataFrame) -> DataFrame:
+    """`lines` with the enclosing symbol, the entry point near each line (e), and the one attached to the
+    enclosing definition (attached). entries: file_id, line_no, kind. One shuffle, by file, for all windows."""
+    first = entries.groupBy("file_id", "line_no").agg(F.min("kind").alias("entry_kind"))
+    entry = F.when(F.col("entry_kind").isNotNull(), F.struct(F.col("line_no").alias("entry_line"), "entry_kind"))
+    marked = lines.join(first, ["file_id", "line_no"], "left").withColumns({"e": F.min(entry).over(around(AFTER, BEFORE)), "_above": F.min(entry).over(around(ATTACHED, 0))})
+    own = F.when(F.col("line").rlike(DEFINITION), F.struct(F.col("_above").alias("a")))
+    up_to = W.partitionBy("file_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    return enclosing(marked.withColumn("attached", F.last(own, ignorenulls=True).over(up_to).getField("a"))).drop("_above", "entry_kind")
+
+
+def traces(lines: DataFrame, entries: DataFrame, sinks: DataFrame, max_depth: int = MAX_DEPTH, max_paths: int = MAX_FANOUT) -> DataFrame:
+    """sinks: file_id, line_no. Call paths from entry points to each sink: a path of depth 0 where the sink's own
+    definition is an entry point, else up the callers of the sink's symbol, breadth first, ending at call places
+    near an entry point. At most `max_paths` a sink, in order of (depth, file, line); hops are places file:line from
+    the entry point down to the sink. Of the ways to one caller the first by (file, line) stands. A sink that no
+    entry point reaches has one partial path (no entry point); one outside of any definition has none.
+
+    The search runs once for each symbol that holds sinks, all symbols side by side; a round reads only the newest."""
+    placed = cut_lineage(traced_lines(lines, entries).filter("symbol is not null").select("file_id", "line_no", "line", "symbol", "e", "attached"))
+    calls = placed.filter(~F.col("line").rlike(DEFINITION)).select("file_id", "line_no", "e", F.col("symbol").alias("caller"), F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(CALL), F.lit(1)))).alias("callee"))
+    first = W.partitionBy("callee").orderBy("file_id", "line_no")
+    calls = cut_lineage(calls.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= MAX_CALLERS).drop("_n"))
+    asked = sinks.select("file_id", "line_no").distinct().join(placed, ["file_id", "line_no"])
+    front = cut_lineage(asked.select(F.col("symbol").alias("root"), "symbol").distinct().withColumn("hops", F.array().cast("array<string>")))
+    seen, found = front.select("root", "symbol"), []
+    place = F.concat(F.col("file_id").cast("string"), F.lit(":"), F.col("line_no").cast("string"))
+    for depth in range(1, max_depth + 1):
+        hits = front.join(calls, front.symbol == calls.callee).select("root", "file_id", "line_no", "e", "caller", "callee", F.concat(F.array(place), "hops").alias("hops"))
+        found.append(hits.filter("e is not null").select("root", F.lit(depth).alias("depth"), "file_id", "line_no", "callee", "e", "hops"))
+        if depth < max_depth:
+            new = hits.filter("e is null").join(seen, (hits.root == seen.root) & (hits.caller == seen.symbol), "left_anti")
+            new = new.groupBy("root", F.col("caller").alias("symbol")).agg(F.min(F.struct("file_id", "line_no", "callee", "hops")).alias("m"))
+            front = cut_lineage(new.select("root", "symbol", "m.hops"))
+            seen = seen.union(front.select("root", "symbol"))
+    up = reduce(DataFrame.union, found)
+    order = W.partitionBy("root").orderBy("depth", "file_id", "line_no", "callee")
+    up = up.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_paths)
+    up = up.select(F.col("root").alias("symbol"), F.struct("depth", F.col("file_id").alias("f"), F.col("line_no").alias("l"), "callee", F.col("file_id").alias("entry_file"), "e", "hops").alias("p"))
+    asked = asked.select("file_id", "line_no", "symbol", "attached")
+    none = F.array().cast("array<string>")
+    at_once = lambda entry: F.struct(F.lit(0).alias("depth"), F.col("file_id").alias("f"), F.col("line_no").alias("l"), F.lit("").alias("callee"), F.when(entry.isNotNull(), F.col("file_id")).alias("entry_file"), entry.alias("e"), none.alias("hops"))
+    direct = asked.filter("attached is not null").select("file_id", "line_no", "symbol", at_once(F.col("attached")).alias("p"))
+    both = direct.union(asked.join(up, "symbol").select("file_id", "line_no", "symbol", "p"))
+    ranked = both.withColumn("rank", F.row_number().over(W.partitionBy("file_id", "line_no").orderBy("p"))).filter(F.col("rank") <= max_paths)
+    partial = asked.join(ranked.select("file_id", "line_no").distinct(), ["file_id", "line_no"], "left_anti")
+    nothing = F.lit(None).cast(placed.schema["attached"].dataType)
+    partial = partial.select("file_id", "line_no", "symbol", at_once(nothing).alias("p"), F.lit(1).alias("rank"))
+    out = ranked.select("file_id", "line_no", "symbol", "p", "rank").union(partial)
+    return out.select("file_id", "line_no", "symbol", "rank", "p.depth", "p.entry_file", "p.e.entry_line", "p.e.entry_kind", F.array_join(F.concat("p.hops", F.array(place)), ">").alias("hops"))
+
+
 def assigned(line: Column) -> Column:
     return F.nullif(F.regexp_extract(line, ASSIGNMENT, 1), F.lit(""))
 

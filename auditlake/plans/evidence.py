@@ -44,6 +44,36 @@ def j7_recursive_callers(spark: SparkSession, d: str) -> DataFrame:
     return E.callers(edges, spark.createDataFrame([("execute",)], "symbol string"))
 
 
+TRACE_LEVELS = "".join(
+    f""", h{k} AS (SELECT f.root, c.file_id, c.line_no, c.entry_line, c.entry_kind, c.caller, c.callee, c.file_id || ':' || c.line_no || '>' || f.hops AS hops FROM g{k - 1} f JOIN calls c ON c.callee = f.symbol),
+g{k} AS (SELECT root, caller AS symbol, min_by(hops, (file_id, line_no, callee, hops)) AS hops FROM h{k} WHERE entry_line IS NULL AND (root, caller) NOT IN (SELECT (root, symbol) FROM t{k - 1}) GROUP BY 1, 2),
+t{k} AS (SELECT root, symbol FROM t{k - 1} UNION ALL SELECT root, symbol FROM g{k})"""
+    for k in range(1, 6)
+)
+TRACE_SQL = f"""WITH {PLACED}, {hits_sql('sink')}, entries AS ({P.scan_sql(P.CATALOG['entry'])}),
+near AS (SELECT p.file_id, p.line_no, min(e.line_no) AS entry_line, min_by(e.kind, (e.line_no, e.kind)) AS entry_kind FROM placed p JOIN entries e ON e.file_id = p.file_id AND p.line_no BETWEEN e.line_no - 3 AND e.line_no + 5 GROUP BY 1, 2),
+own AS (SELECT p.file_id, p.line_no, min(e.line_no) AS entry_line, min_by(e.kind, (e.line_no, e.kind)) AS entry_kind FROM placed p JOIN entries e ON e.file_id = p.file_id AND p.symbol_line - e.line_no BETWEEN 0 AND 4 GROUP BY 1, 2),
+every AS (SELECT DISTINCT file_id, line_no, symbol AS caller, callee FROM (SELECT file_id, line_no, symbol, unnest(regexp_extract_all(line, '([A-Za-z0-9_]+)\\(', 1)) AS callee FROM placed WHERE symbol IS NOT NULL AND {DEF_SQL} IS NULL)),
+calls AS (SELECT n.*, near.entry_line, near.entry_kind FROM (SELECT *, row_number() OVER (PARTITION BY callee ORDER BY file_id, line_no) AS n FROM every) n LEFT JOIN near USING (file_id, line_no) WHERE n <= 20),
+asked AS (SELECT DISTINCT h.file_id, h.line_no, p.symbol FROM hits h JOIN placed p USING (file_id, line_no) WHERE p.symbol IS NOT NULL),
+g0 AS (SELECT DISTINCT symbol AS root, symbol, '' AS hops FROM asked), t0 AS (SELECT root, symbol FROM g0){TRACE_LEVELS},
+up AS ({' UNION ALL '.join(f'SELECT root, {k} AS depth, file_id, line_no, callee, entry_line, entry_kind, hops FROM h{k} WHERE entry_line IS NOT NULL' for k in range(1, 6))}),
+six AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, file_id, line_no, callee) AS n FROM up) WHERE n <= 6),
+paths AS (
+  SELECT a.file_id, a.line_no, a.symbol, 0 AS depth, a.file_id AS f, a.line_no AS l, '' AS callee, o.entry_line, o.entry_kind, '' AS hops FROM asked a JOIN own o USING (file_id, line_no)
+  UNION ALL SELECT a.file_id, a.line_no, a.symbol, depth, s.file_id, s.line_no, callee, entry_line, entry_kind, hops FROM asked a JOIN six s ON s.root = a.symbol),
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id, line_no ORDER BY depth, f, l, callee) AS rank FROM paths) WHERE rank <= 6)
+SELECT a.file_id, a.line_no, a.symbol, coalesce(r.rank, 1) AS rank, coalesce(r.depth, 0) AS depth, r.f AS entry_file, r.entry_line, r.entry_kind, coalesce(r.hops, '') || a.file_id || ':' || a.line_no AS hops FROM asked a LEFT JOIN ranked r USING (file_id, line_no)"""
+
+
+@query(with_sql("code_lines", TRACE_SQL))
+def j7_traces_to_entry_points(spark: SparkSession, d: str) -> DataFrame:
+    """From every sink up its callers to entry points; partial paths where none is reached."""
+    found = hits(spark, d, "sink", "entry")
+    entry = F.col("kind").isin(list(P.CATALOG["entry"]))
+    return E.traces(code_lines(spark, d), found.filter(entry), found.filter(~entry))
+
+
 SOURCE_ORDER = list(P.CATALOG["source"])
 FIRST_SOURCE = "list_position([" + ", ".join(f"'{k}'" for k in SOURCE_ORDER) + "], kind)"
 USED = "list_contains(regexp_extract_all(k.line, '([$@]?[A-Za-z_][A-Za-z0-9_]*)', 1), v.variable)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditlake.functions import jsonfix as J
@@ -191,8 +192,12 @@ def o1_ordered_union(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT source, array_to_string(list_slice(list_sort(list(doc_id)), 1, 5), ',') || ' (+' || (count(*) - 5) || ')' AS clipped FROM documents GROUP BY source")
 def l8_clipped_list(spark: SparkSession, d: str) -> DataFrame:
-    g = read(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("f"))
-    return g.select("source", F.concat(F.array_join(F.transform(F.slice("f", 1, 5), lambda x: x.cast("string")), ","), F.lit(" (+"), (F.size("f") - 5).cast("string"), F.lit(")")).alias("clipped"))
+    """Five ids a source are held, however many it has."""
+    docs = read(spark, d, "documents").select("source", "doc_id")
+    first = docs.withColumn("i", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).filter("i <= 5")
+    held = first.groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("f"))
+    g = docs.groupBy("source").agg(F.count("*").alias("n")).withColumnRenamed("source", "s").join(held, F.col("s").eqNullSafe(F.col("source")))
+    return g.select("source", F.concat(F.array_join(F.transform("f", lambda x: x.cast("string")), ","), F.lit(" (+"), (F.col("n") - 5).cast("string"), F.lit(")")).alias("clipped"))
 
 
 @query("SELECT page_id, regexp_replace(regexp_replace(html, '<script[^>]*>', '', 'g'), '</script>', '', 'g') AS html FROM pages")

@@ -3,16 +3,14 @@ polls at an interval when one is given."""
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.session import importable
+from auditlake.session import importable, shared_folder
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -60,18 +58,21 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     return timed.groupBy(F.window("at", width).alias("w"), "status").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "status", "n")
 
 
-def run_to_end(spark: SparkSession, stream: DataFrame, mode: str, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Runs a stream over all that is there and returns what it has written."""
+def run_to_end(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over all that is there and returns what it has written, as files of the shared folder: in
+    complete mode the last batch, else all. A batch that is run again writes over its own files."""
     importable(spark)
-    name = f"progress_{uuid.uuid4().hex}"
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    local = None if where else tempfile.mkdtemp(prefix="auditlake-stream-")
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{where or local}/{name}").trigger(availableNow=True).start()
+    where = f"{shared_folder(spark)}/progress_{uuid.uuid4().hex}"
+    done: list[str] = []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{where}/rows/{batch}")
+        done.append(f"{where}/rows/{batch}")
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-        if local:
-            shutil.rmtree(local, ignore_errors=True)
-    out = spark.table(name)
-    return then(out) if then else out
+    folders = done[-1:] if mode == "complete" else done
+    return spark.read.schema(stream.schema).parquet(*folders) if folders else spark.createDataFrame([], stream.schema)
