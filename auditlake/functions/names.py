@@ -75,3 +75,16 @@ def extension(path: Column) -> Column:
 
 def cache_key(chunk: Column, prompt: Column, name: Column, version: str = "v5") -> Column:
     return F.concat_ws("_", F.lit(version), F.md5(chunk), F.md5(prompt), sanitized(name))
+
+
+def phase_table(markdown: Column, heading: str = "### Pipeline phases") -> Column:
+    """array of (label, status, completed, total): rows of the table under a heading of a Markdown text. Heads, rules
+    and rows without two numbers in the third cell are left out; no heading, no rows."""
+    section = F.get(F.split(F.get(F.split(markdown, heading), F.lit(1)), r"\n\s*### "), F.lit(0))
+    lines = F.filter(F.transform(F.split(section, "\n"), lambda x: F.trim(x)), lambda x: F.startswith(x, F.lit("|")) & ~F.contains(x, F.lit("---")))
+    cells = F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)))
+    head = lambda c: F.contains(F.lower(c[0]), F.lit("phase")) & F.contains(F.lower(c[1]), F.lit("status"))
+    numbers = lambda c: F.regexp_extract_all(c[2], F.lit("([0-9]+)"), F.lit(1))
+    good = F.filter(F.filter(cells, lambda c: F.size(c) >= 3), lambda c: ~head(c) & (F.length(c[0]) > 0) & (F.size(numbers(c)) >= 2))
+    rows = F.transform(good, lambda c: F.struct(c[0].alias("label"), c[1].alias("status"), numbers(c)[0].try_cast("long").alias("completed"), numbers(c)[1].try_cast("long").alias("total")))
+    return F.coalesce(rows, F.array().cast("array<struct<label:string,status:string,completed:bigint,total:bigint>>"))

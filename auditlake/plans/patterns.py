@@ -24,10 +24,19 @@ def hits_sql(group: str) -> str:
 SEVERITY_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{s}'" for k, s in P.SEVERITY.items()) + " ELSE 'high' END"
 
 
+def catalog_rows() -> list[tuple[str, str, int, str]]:
+    return [(g, k, i, x) for g, kinds in P.CATALOG.items() for k, p in kinds.items() for i, x in enumerate(p)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}', {}, '{}')".format(g, k, i, x.replace("'", "''")) for g, k, i, x in catalog_rows()) + ") AS t(group_name, kind, ord, pattern)")
+def p1_catalog_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog itself, a row a pattern."""
+    return spark.createDataFrame(catalog_rows(), "group_name string, kind string, ord int, pattern string")
+
+
 @query("SELECT 'x' AS name, " + str(sum(len(p) for p in ALL.values())) + " AS n_patterns, " + str(len(ALL)) + " AS n_kinds")
 def p1_pattern_catalog(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(g, k, i, x) for g, kinds in P.CATALOG.items() for k, p in kinds.items() for i, x in enumerate(p)]
-    catalog = spark.createDataFrame(rows, "group_name string, kind string, ord int, pattern string")
+    catalog = spark.createDataFrame(catalog_rows(), "group_name string, kind string, ord int, pattern string")
     return catalog.agg(F.lit("x").alias("name"), F.count("*").cast("int").alias("n_patterns"), F.countDistinct("kind").cast("int").alias("n_kinds"))
 
 

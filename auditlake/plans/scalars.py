@@ -210,3 +210,53 @@ def x27_digest_fit(spark: SparkSession, d: str) -> DataFrame:
     """Leaves of a digest that fit 50 characters: each takes ten."""
     leaves = F.sequence(F.lit(1), (F.col("doc_id") % 9 + 1).cast("int"))
     return read(spark, d, "documents").select("doc_id", F.size(F.filter(leaves, lambda i: i * 10 <= 50)).cast("long").alias("n_kept"))
+
+
+#: Characters of one user's digest.
+DIGEST_CHARS = 400
+
+DIGEST_SQL = f"""
+WITH l AS (SELECT user_id, event_id, '{{"event_id":' || event_id || ',"event_type":"' || event_type || '"}}' AS leaf FROM events),
+r AS (SELECT *, sum(length(leaf) + 1) OVER (PARTITION BY user_id ORDER BY event_id) + 1 AS chars FROM l)
+SELECT user_id, bool_or(chars > {DIGEST_CHARS}) AS truncated, CAST(max(chars) AS BIGINT) AS original_chars, '[' || coalesce(string_agg(leaf, ',' ORDER BY event_id) FILTER (WHERE chars <= {DIGEST_CHARS}), '') || ']' AS digest FROM r GROUP BY user_id
+"""
+
+
+@query(DIGEST_SQL)
+def x27_fitted_digest(spark: SparkSession, d: str) -> DataFrame:
+    """A JSON list of each user's events that loses its last leaf until it fits: as lengths only grow, the leaves
+    up to which the running length fits. Only those are gathered."""
+    leaf = F.to_json(F.struct("event_id", "event_type"))
+    chars = F.sum(F.length("leaf") + 1).over(W.partitionBy("user_id").orderBy("event_id")) + 1
+    run = read(spark, d, "events").select("user_id", "event_id", leaf.alias("leaf")).withColumn("chars", chars)
+    fits = F.col("chars") <= DIGEST_CHARS
+    kept = F.array_sort(F.collect_list(F.when(fits, F.struct("event_id", "leaf"))))
+    g = run.groupBy("user_id").agg(F.max(~fits).alias("truncated"), F.max("chars").alias("original_chars"), kept.alias("kept"))
+    return g.select("user_id", "truncated", "original_chars", F.concat(F.lit("["), F.array_join("kept.leaf", ","), F.lit("]")).alias("digest"))
+
+
+#: Shares of a prompt's characters by section, and the summary's cap. Fixed values.
+SECTIONS = {"validation": 0.50, "selected_finding": 0.30, "rag": 0.25, "report_summary": 0.15, "user_labels": 0.05}
+SUMMARY_CAP = 15_000
+
+
+@query(f"SELECT c_custkey, name AS section, CAST(CASE WHEN name = 'report_summary' THEN least(floor(c_custkey * 160 * share), {SUMMARY_CAP}) ELSE floor(c_custkey * 160 * share) END AS BIGINT) AS chars FROM customer, (VALUES " + ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in SECTIONS.items()) + ") AS s(name, share)")
+def x25_section_budgets(spark: SparkSession, d: str) -> DataFrame:
+    """Every section's share of a budget of 160 characters a customer key."""
+    total = F.col("c_custkey") * 160
+    share = {k: F.floor(total * F.lit(v)) for k, v in SECTIONS.items()}
+    share["report_summary"] = F.least(share["report_summary"], F.lit(SUMMARY_CAP))
+    rows = F.array(*(F.struct(F.lit(k).alias("section"), v.cast("long").alias("chars")) for k, v in share.items()))
+    return read(spark, d, "customer").select("c_custkey", F.inline(rows))
+
+
+@query("SELECT p.n_nationkey, p.label, p.status, p.completed, p.total FROM (SELECT n_nationkey, 'Scan' AS label, 'done' AS status, CAST(n_regionkey AS BIGINT) AS completed, CAST(n_nationkey AS BIGINT) AS total FROM nation UNION ALL SELECT n_nationkey, 'Deep analysis', 'running', CAST(n_nationkey AS BIGINT), CAST(n_nationkey * 3 AS BIGINT) FROM nation) p")
+def x20_phase_table(spark: SparkSession, d: str) -> DataFrame:
+    """The phases of a report's Markdown: rows of the table under its heading with two numbers in the third cell;
+    what stands before the heading, in the table's own head, and after the next heading is left out."""
+    cell = lambda c: F.col(c).cast("string")
+    md = F.concat(
+        F.lit("# Summary\n\n| Files | done | 1 / 2 |\n\n### Pipeline phases\n\n| Phase | Status | Progress |\n| --- | --- | --- |\n| Scan | done | "), cell("n_regionkey"), F.lit(" / "), cell("n_nationkey"),
+        F.lit(" (all) |\n|Deep analysis|running|"), cell("n_nationkey"), F.lit(" of "), (F.col("n_nationkey") * 3).cast("string"), F.lit("|\n| Report | pending | none |\n\n### Other\n\n| Late | done | 3 / 4 |\n"),
+    )
+    return read(spark, d, "nation").select("n_nationkey", F.inline(N.phase_table(md)))
