@@ -198,3 +198,37 @@ def test_bands_and_taint_reach_their_edges(spark):
     assert {r["line_no"] for r in E.near_entry(h, ["flask"]).filter("kind = 'open'").collect()} == {7, 15}
     flows = {(r["line_no"], r["source_kind"]) for r in E.taint_flows(h.filter("kind <> 'flask'"), ["stdin", "env"]).collect()}
     assert flows == {(76, "env")}
+
+
+def test_traces(spark):
+    from auditlake.operators import evidence as E
+
+    rows = [(1, 1, '@app.route("/x")'), (1, 2, "def a(request):"), (1, 3, "    b(request)"), (2, 1, "def b(x):"), (2, 2, "    os.system(x)"), (2, 3, "def c(x):"), (2, 4, "    os.system(x)"), (3, 1, "os.system(y)"), (4, 1, None)]
+    lines = spark.createDataFrame(rows, "file_id long, line_no long, line string")
+    entries = spark.createDataFrame([(1, 1, "flask")], "file_id long, line_no long, kind string")
+    sinks = spark.createDataFrame([(1, 3), (2, 2), (2, 2), (2, 4), (3, 1)], "file_id long, line_no long")
+    found = {(r.file_id, r.line_no): (r.symbol, r.rank, r.depth, r.entry_file, r.entry_line, r.entry_kind, r.hops) for r in E.traces(lines, entries, sinks).collect()}
+    assert found == {(1, 3): ("a", 1, 0, 1, 1, "flask", "1:3"), (2, 2): ("b", 1, 1, 1, 1, "flask", "1:3>2:2"), (2, 4): ("c", 1, 0, None, None, None, "2:4")}
+    assert E.traces(lines, entries, sinks.limit(0)).count() == 0
+    cut = E.traces(lines, entries.limit(0), sinks).collect()
+    assert len(cut) == 3 and all(r.entry_line is None for r in cut)
+
+
+def test_phase_table(spark):
+    from auditlake.functions import names as N
+
+    texts = ["### Pipeline phases\n| Phase | Status | Progress |\n|---|---|---|\n| A | ok | 1/2 50% |\n| B | ok | one |\n\n### Next\n| C | ok | 1/2 |", "| A | ok | 1/2 |", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [[tuple(x) for x in r.p] for r in df.select(N.phase_table(F.col("t")).alias("p")).collect()] == [[("A", "ok", 1, 2)], [], [], []]
+
+
+def test_stream_without_files_and_with_several_batches(spark, tmp_path):
+    from auditlake.streaming import monitor as M
+
+    (tmp_path / "in").mkdir()
+    stream = lambda: M.progress_stream(M.poll(spark, str(tmp_path / "in"), files_a_batch=1))
+    assert M.run_to_end(spark, M.latest_progress(stream()), "complete").count() == 0
+    for i in range(3):
+        spark.sql(f"SELECT {i}L AS event_id, timestamp_ntz'2024-01-0{i + 1} 00:00:00' AS ts, 7L AS user_id, 's{i % 2}' AS event_type, 0D AS value, '{{}}' AS props").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert [r.event_id for r in M.run_to_end(spark, M.latest_progress(stream()), "complete").collect()] == [2]
+    assert M.run_to_end(spark, M.changed_status(stream()), "append").count() == 3
