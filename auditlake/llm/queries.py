@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from auditlake.llm.op1_bpe import op1_bpe
 from auditlake.llm import op5_chat
 from auditlake.llm.op10_search import op10_search
+from auditlake.llm.op11_repair import op11_repair
 from auditlake.llm.op2_quality import op2_quality
 from auditlake.llm.op3_licenses import op3_licenses
 from auditlake.llm.op4_suffix_dedup import op4_suffix_dedup
@@ -20,7 +21,7 @@ from auditlake.llm.op9_packing import op9_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_licenses, op4_suffix_dedup, op5_perspectives, op6_language, op7_secrets, op8_neardup, op9_packing, op10_search)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_licenses, op4_suffix_dedup, op5_perspectives, op6_language, op7_secrets, op8_neardup, op9_packing, op10_search, op11_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
