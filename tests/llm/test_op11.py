@@ -119,7 +119,7 @@ def test_op11_plain_programme_against_all_edits():
     for turns in itertools.product("sua?", repeat=3):
         best = []
         for edits in itertools.product(("K", "Ru", "Ra", "D"), repeat=3):
-            for gaps in itertools.product(("", "u", "a", "ua", "au", "uau"), repeat=4):
+            for gaps in itertools.product(("", "u", "a", "ua"), repeat=4):
                 out, audit, cost = gaps[0], "I" * len(gaps[0]), 3 * sum(map(len, gaps))
                 for t, e, g in zip(turns, edits, gaps[1:], strict=True):
                     out += {"K": t, "D": ""}.get(e, e[1:]) + g
