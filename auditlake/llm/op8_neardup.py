@@ -72,10 +72,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles."""
+def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles of `size` words (SHINGLE at most)."""
     words = text.lower().split()
-    n = min(SHINGLE, len(words))
+    n = min(size, len(words))
     if not n:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
@@ -182,14 +182,14 @@ def similar(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
     return pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def _read(briefs: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+def _read(briefs: list[bytes], coordinates: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Low signature bytes, a row each, and sketches."""
     flat = [np.frombuffer(b, np.uint8) for b in briefs]
-    return np.stack([b[:COORDINATES] for b in flat]), [np.ascontiguousarray(b[COORDINATES:]).view(np.uint64) for b in flat]
+    return np.stack([b[:coordinates] for b in flat]), [np.ascontiguousarray(b[coordinates:]).view(np.uint64) for b in flat]
 
 
-def near_hubs(pairs: DataFrame, briefs: DataFrame, percent: int = 75) -> DataFrame:
-    """(a, b): of each a's pairs with hubs that may be links, the closest."""
+def near_hubs(pairs: DataFrame, briefs: DataFrame, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+    """(a, b): of each a's pairs with hubs that may be links, the closest. Briefs without signature bytes: 0 coordinates, 0 matches."""
     one = briefs.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("brief").alias("p"))
     two = briefs.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("brief").alias("q"))
     rows = pairs.join(one, "a").join(two, "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
@@ -198,11 +198,11 @@ def near_hubs(pairs: DataFrame, briefs: DataFrame, percent: int = 75) -> DataFra
         for batch in short(batches, 4):
             n, far = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             if batch.num_rows:
-                (p, x), (q, y) = _read(batch.column(4).to_pylist()), _read(batch.column(5).to_pylist())
+                (p, x), (q, y) = _read(batch.column(4).to_pylist(), coordinates), _read(batch.column(5).to_pylist(), coordinates)
                 n = (p == q).sum(axis=1)
                 far = np.array([int(apart(s, t)) for s, t in zip(x, y, strict=True)])
             both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            keep = pa.array((n >= MATCHES) & ((100 - percent) * both >= (100 + percent) * far))
+            keep = pa.array((n >= matches) & ((100 - percent) * both >= (100 + percent) * far))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(far / np.maximum(both, 1)).filter(keep)], names=["a", "b", "far"])
 
     found = rows.select("a", "b", "n_a", "n_b", "p", "q").mapInArrow(run, "a long, b long, far double")
@@ -212,9 +212,10 @@ def near_hubs(pairs: DataFrame, briefs: DataFrame, percent: int = 75) -> DataFra
 class Cell:
     """Members of a posting that meet in one task: `asking` ones are held against `asked` ones of other components."""
 
-    def __init__(self, node: np.ndarray, root: np.ndarray, n: np.ndarray, briefs: list[bytes], asking: np.ndarray, asked: np.ndarray, main: np.ndarray) -> None:
+    def __init__(self, node: np.ndarray, root: np.ndarray, n: np.ndarray, briefs: list[bytes], asking: np.ndarray, asked: np.ndarray, main: np.ndarray, coordinates: int = COORDINATES, matches: int = MATCHES) -> None:
+        self.matches = matches
         self.node, self.root, self.n, self.asking, self.asked, self.main = node, root, n, asking, asked, main
-        self.low, sketches = _read(briefs)
+        self.low, sketches = _read(briefs, coordinates)
         # Sketches of one width stand in one table.
         width = np.array([len(s) for s in sketches])
         self.tables = [(w, np.stack([sketches[i] for i in np.flatnonzero(width == w)])) for w in np.unique(width).tolist()]
@@ -227,7 +228,7 @@ class Cell:
         largest component meet twice; the one of the greater node asks."""
         fits = self.asked & (self.root != self.root[x]) & (100 * np.minimum(self.n, self.n[x]) >= percent * np.maximum(self.n, self.n[x]))
         at = np.flatnonzero(fits & ((self.root == self.main) | (self.node < self.node[x])))
-        at = at[(self.low[at] == self.low[x]).sum(axis=1) >= MATCHES]
+        at = at[(self.low[at] == self.low[x]).sum(axis=1) >= self.matches]
         far = np.zeros(len(at), np.int64)
         own = next(t for w, t in self.tables if w == self.width[x])[self.place[x]]
         for w, rows in self.tables:
@@ -262,7 +263,7 @@ def open_postings(placed: DataFrame) -> DataFrame:
     return found.filter("parts > 1").select("code", F.col("m.root").alias("main"), (F.col("total") - F.col("m.k")).alias("outside"), "total")
 
 
-def near_in_postings(placed: DataFrame, briefs: DataFrame, best: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+def near_in_postings(placed: DataFrame, briefs: DataFrame, best: int, cell_rows: int = CELL_ROWS, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """(code, a, b, more): pairs of different components within a posting that may be links, as `Cell.pairs` gives them."""
     side = lambda n: F.ceil(F.col(n) / cell_rows).cast("int")
     rows = placed.join(open_postings(placed), "code").withColumn("out", F.col("root") != F.col("main"))
@@ -277,9 +278,9 @@ def near_in_postings(placed: DataFrame, briefs: DataFrame, best: int, cell_rows:
     def solve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
         root, n, main, node = (t.column(c).to_numpy() for c in ("root", "n", "main", "node"))
-        cell = Cell(node, root, n, t.column("brief").to_pylist(), t.column("asking").to_numpy(), t.column("asked").to_numpy(), main)
+        cell = Cell(node, root, n, t.column("brief").to_pylist(), t.column("asking").to_numpy(), t.column("asked").to_numpy(), main, coordinates, matches)
         code, out = t.column("code")[0].as_py(), []
-        for pair in cell.pairs(best):
+        for pair in cell.pairs(best, percent):
             out.append((code, *pair))
             if len(out) == 65_536:
                 yield _pairs(out)
@@ -353,7 +354,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = scratch.write(compressed(docs.filter("text is not null and doc_id is not null").select(F.col("doc_id").alias("node"), "text")).join(taking, "node").dropDuplicates(), "texts")
     free_shuffles(spark)
     # A doc_id with several sets ties their classes together.
-    of_doc = known.join(classes.select("set_key", "node"), "set_key").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("a")).filter("a != b").select("a", "b")
+    of_doc = known.join(classes.select("set_key", "node"), "set_key").select("doc_id", "node")
+    tied = of_doc.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b < last")
+    of_doc = of_doc.join(tied, "doc_id").filter("node != b").select(F.col("node").alias("a"), "b").distinct()
     hubs = postings.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     links = scratch.write(similar(near_hubs(hubs, briefs), texts).union(of_doc), "links-0")
     free_shuffles(spark)
