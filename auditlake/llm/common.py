@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from auditlake.session import importable
+from auditlake.session import importable, only_local
 
 #: Rows and bytes of text that an operator takes from an Arrow batch at a time. Texts have no length limit; Spark's
 #: own `spark.sql.execution.arrow.maxBytesPerBatch` (64 MB) bounds the batch, and no session option is changed.
@@ -43,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     where = conf.get("spark.checkpoint.dir") or spark.conf.get("auditlake.scratch.dir", None)
     if not where:
+        only_local(spark)
         where = tempfile.mkdtemp(prefix="auditlake-")
         spark.conf.set("auditlake.scratch.dir", where)
     return where

@@ -263,7 +263,7 @@ def open_postings(placed: DataFrame) -> DataFrame:
     return found.filter("parts > 1").select("code", F.col("m.root").alias("main"), (F.col("total") - F.col("m.k")).alias("outside"), "total")
 
 
-def near_in_postings(placed: DataFrame, briefs: DataFrame, best: int, cell_rows: int = CELL_ROWS, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+def near_in_postings(placed: DataFrame, briefs: DataFrame, best: int, cell_rows: int = CELL_ROWS, *, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """(code, a, b, more): pairs of different components within a posting that may be links, as `Cell.pairs` gives them."""
     side = lambda n: F.ceil(F.col(n) / cell_rows).cast("int")
     rows = placed.join(open_postings(placed), "code").withColumn("out", F.col("root") != F.col("main"))

@@ -487,6 +487,30 @@ def test_op10_repeated_queries(spark, monkeypatch):
         assert got == want
 
 
+@pytest.mark.parametrize("shards", [1, 2, 3, 5])
+def test_op10_copies_in_any_shards(spark, monkeypatch, shards):
+    """Exact copies score the same in every shard: whole lists, ids included, are those of a plain sum."""
+    rng = random.Random(21)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(rng.randint(5, 120))) for _ in range(60)]
+    docs = [(i, rng.choice(texts)) for i in range(600)]
+    bags = {t: collections.Counter(terms_of(t.encode()).tolist()) for t in texts}
+    n, mean = len(docs), sum(sum(bags[t].values()) for _, t in docs) / len(docs)
+    df = collections.Counter(x for _, t in docs for x in bags[t])
+    want = []
+    for q, text in docs:
+        if q % 20 == 0:
+            score = {t: math.fsum(math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * b[x] * 2.2 / (b[x] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for x in bags[text] if x in b) for t, b in bags.items()}
+            want += [(q, i + 1, d) for i, (_, d) in enumerate(sorted((-score[t], d) for d, t in docs if score[t])[:10])]
+    monkeypatch.setattr(op10, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(op10, "DENSE_TERMS", 20)
+    monkeypatch.setattr(op10, "SHARD_DOCS", -(-600 // shards))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(shards if shards != 2 else 1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = top_documents(frame, frame.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")).collect()
+    assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in got) == sorted(want)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_op10_pivots_skip_blocks():
     """Blocks below the risen threshold are not scored, and the best are those of a full scan."""
     rng = np.random.default_rng(13)
