@@ -107,9 +107,9 @@ def o5_missing_controls(spark: SparkSession, d: str) -> DataFrame:
 
 #: Type, family, CWE and sink kinds. Fixed values.
 DESCRIPTORS = [
-    ("SQL Injection", "flow", "CWE-89", "sql_execute"), ("Command Injection", "flow", "CWE-78", "command_exec"), ("Code Injection", "flow", "CWE-94", "code_eval"),
-    ("Path Traversal", "flow", "CWE-22", "file_open"), ("Cross-Site Scripting", "flow", "CWE-79", "html_output"), ("Insecure Deserialization", "flow", "CWE-502", "deserialize"),
-    ("Server-Side Request Forgery", "flow", "CWE-918", "http_request"), ("Open Redirect", "flow", "CWE-601", "redirect"), ("XML External Entity", "flow", "CWE-611", "xml_parse"),
+    ("SQL Injection", "flow", "CWE-89", "sql_execute"), ("Command Injection", "flow", "CWE-78", "os_exec"), ("Code Injection", "flow", "CWE-94", "eval_exec"),
+    ("Path Traversal", "flow", "CWE-22", "file_open"), ("Cross-Site Scripting", "flow", "CWE-79", "innerHTML_write"), ("Insecure Deserialization", "flow", "CWE-502", "deserialize_call"),
+    ("Server-Side Request Forgery", "flow", "CWE-918", "url_fetch"), ("Open Redirect", "flow", "CWE-601", "redirect_call"), ("XML External Entity", "flow", "CWE-611", "xml_parse"),
 ]
 DESCRIPTOR_SQL = "d(name, family, cwe, kind) AS (VALUES " + ", ".join(str(x) for x in DESCRIPTORS) + ")"
 

@@ -90,15 +90,9 @@ def j14_preferred_artifact(spark: SparkSession, d: str) -> DataFrame:
     return a.filter("report_key = preferred_key").select("stem", "format")
 
 
-@query(with_sql("report_index", "SELECT report_key, date, format FROM report_index ORDER BY date DESC, CASE format WHEN 'json' THEN 1 WHEN 'html' THEN 2 WHEN 'md' THEN 3 WHEN 'pdf' THEN 4 ELSE 5 END, report_key LIMIT 50"))
-def l5_newest_reports(spark: SparkSession, d: str) -> DataFrame:
-    priority = F.array_position(F.array(*(F.lit(f) for f in I.PREFERENCE)), F.col("format"))
-    return report_index(spark, d).orderBy(F.desc("date"), priority, "report_key").limit(50).select("report_key", "date", "format")
-
-
 @query(with_sql("report_index", "SELECT report_key, date, format FROM report_index ORDER BY date DESC, CASE format WHEN 'json' THEN 1 WHEN 'html' THEN 2 WHEN 'md' THEN 3 WHEN 'pdf' THEN 4 ELSE 5 END, report_key"))
 def l5_whole_report_order(spark: SparkSession, d: str) -> DataFrame:
-    """All reports; l5_newest_reports is the head of them."""
+    """All reports."""
     place = F.array_position(F.array(*(F.lit(f) for f in I.PREFERENCE)), F.col("format"))
     priority = F.when(place == 0, F.lit(len(I.PREFERENCE))).otherwise(place)
     return report_index(spark, d).orderBy(F.desc_nulls_last("date"), priority, "report_key").select("report_key", "date", "format")

@@ -28,16 +28,20 @@ def catalog_rows() -> list[tuple[str, str, int, str]]:
     return [(g, k, i, x) for g, kinds in P.CATALOG.items() for k, p in kinds.items() for i, x in enumerate(p)]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}', {}, '{}')".format(g, k, i, x.replace("'", "''")) for g, k, i, x in catalog_rows()) + ") AS t(group_name, kind, ord, pattern)")
-def p1_catalog_rows(spark: SparkSession, d: str) -> DataFrame:
-    """The catalog itself, a row a pattern."""
-    return spark.createDataFrame(catalog_rows(), "group_name string, kind string, ord int, pattern string")
+def each_pattern_sql() -> str:
+    """Lines that each single pattern of the catalog matches."""
+    return " UNION ALL ".join("SELECT '{}' AS group_name, '{}' AS kind, {} AS ord, '{}' AS pattern, count(*) FILTER (regexp_matches(rtrim(line), '{}')) AS n_lines FROM code_lines".format(g, k, i, *[x.replace("'", "''")] * 2) for g, k, i, x in catalog_rows())
 
 
-@query("SELECT 'x' AS name, " + str(sum(len(p) for p in ALL.values())) + " AS n_patterns, " + str(len(ALL)) + " AS n_kinds")
+@query(with_sql("code_lines", each_pattern_sql()))
 def p1_pattern_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog, a row a pattern, with the lines of the corpus that it matches; those that match none stay."""
     catalog = spark.createDataFrame(catalog_rows(), "group_name string, kind string, ord int, pattern string")
-    return catalog.agg(F.lit("x").alias("name"), F.count("*").cast("int").alias("n_patterns"), F.countDistinct("kind").cast("int").alias("n_kinds"))
+    texts = code_lines(spark, d).groupBy("line").agg(F.count("*").alias("times"))
+    found = P.scan(texts, {f"{k}#{i}": [x] for _, k, i, x in catalog_rows()}).groupBy("kind").agg(F.sum("times").alias("n"))
+    found = found.select(F.col("kind").alias("_id"), "n")
+    own = F.concat_ws("#", "kind", F.col("ord").cast("string"))
+    return F.broadcast(catalog).join(found, own == F.col("_id"), "left").select("group_name", "kind", "ord", "pattern", F.coalesce("n", F.lit(0)).alias("n_lines"))
 
 
 @query(with_sql("code_lines", f"WITH hits AS ({P.scan_sql(ALL)}) SELECT kind, count(*) AS n FROM hits GROUP BY kind"))
@@ -63,14 +67,9 @@ def p7_entry_points(spark: SparkSession, d: str) -> DataFrame:
     return hits(spark, d, "entry").select("file_id", "line_no", "kind", P.route(F.col("line")).alias("route"))
 
 
-@query(with_sql("code_lines", f"WITH {hits_sql('entry')} SELECT kind, line_no FROM hits WHERE file_id = 7 OR file_id % 100 = 3"))
-def p8_entry_points_of_file(spark: SparkSession, d: str) -> DataFrame:
-    return hits(spark, d, "entry").filter("file_id = 7 OR file_id % 100 = 3").select("kind", "line_no")
-
-
 @query(with_sql("code_lines", f"WITH {hits_sql('entry')} SELECT file_id, string_agg(kind || ':' || line_no, ',' ORDER BY line_no, kind) AS entry_points FROM hits GROUP BY file_id"))
 def p8_entry_points_by_file(spark: SparkSession, d: str) -> DataFrame:
-    """The entry points of every file; p8_entry_points_of_file looks up some files."""
+    """The entry points of every file."""
     found = F.array_sort(F.collect_list(F.struct("line_no", "kind")))
     points = F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["line_no"].cast("string"))), ",")
     return hits(spark, d, "entry").groupBy("file_id").agg(points.alias("entry_points"))

@@ -77,14 +77,9 @@ def w1_top_per_tier(spark: SparkSession, d: str) -> DataFrame:
     return V.top_per_group(s, ["tier"], [F.desc("score"), F.asc("type_id"), F.asc("file_id")], 25).select("tier", "type_id", "file_id", "score", "rank")
 
 
-@query(with_sql("scores", "SELECT type_id, file_id, round(score, 6) AS score FROM scores WHERE type_id = 3 ORDER BY round(score, 6) DESC, file_id LIMIT 100"))
-def l1_score_order(spark: SparkSession, d: str) -> DataFrame:
-    return scores(spark, d).filter("type_id = 3").select("type_id", "file_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "file_id").limit(100)
-
-
 @query(with_sql("scores", "SELECT type_id, file_id, round(score, 6) AS score FROM scores ORDER BY round(score, 6) DESC, type_id, file_id"))
 def l1_whole_score_order(spark: SparkSession, d: str) -> DataFrame:
-    """All scores of all types; l1_score_order is the head of one type's."""
+    """All scores of all types."""
     return scores(spark, d).select("type_id", "file_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "type_id", "file_id")
 
 

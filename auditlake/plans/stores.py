@@ -23,13 +23,7 @@ def s5_valid_split(spark: SparkSession, d: str) -> DataFrame:
     return code_files(spark, d).agg(F.count("*").alias("n"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("unsupported"))
 
 
-@query(with_sql("code_files", "SELECT path FROM code_files WHERE octet_length(encode(content)) <= 4000 AND path LIKE '%.en' ORDER BY path LIMIT 500"))
-def s6_guarded_walk(spark: SparkSession, d: str) -> DataFrame:
-    small = (F.octet_length("content") <= 4000) & (extension(F.col("path")) == "en")
-    return code_files(spark, d).filter(small).orderBy("path").limit(500).select("path")
-
-
-@query(with_sql("code_files", "SELECT path FROM code_files WHERE octet_length(encode(content)) <= 1048576 AND regexp_extract(path, '[^.]*$') IN (SELECT lang FROM documents) AND NOT list_has_any(string_split(lower(regexp_extract(path, '^(.*)/', 1)), '/'), ['.git', '.hg', '.svn', '.venv', 'venv', 'env', 'node_modules', 'dist', 'build', '.mypy_cache', '.pytest_cache', '.oasis_cache', '__pycache__']) ORDER BY path LIMIT 5000"))
+@query(with_sql("code_files", "SELECT path FROM code_files WHERE octet_length(encode(content)) <= 1048576 AND regexp_extract(path, '[^.]*$') IN (SELECT lang FROM documents) AND NOT list_has_any(string_split(lower(regexp_extract(path, '^(.*)/', 1)), '/'), " + str(list(S.IGNORED)) + ") ORDER BY path LIMIT 5000"))
 def s6_whole_walk(spark: SparkSession, d: str) -> DataFrame:
     """With the survey's bounds; the tables' languages stand for the extensions."""
     files = code_files(spark, d)

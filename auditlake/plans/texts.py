@@ -39,13 +39,6 @@ def w3_line_packing(spark: SparkSession, d: str) -> DataFrame:
     return T.chunks(docs, "doc_id", "text").select("doc_id", "start_line", "end_line", F.length("text").alias("n_chars"))
 
 
-@query()
-def w4_window_growth(spark: SparkSession, d: str) -> DataFrame:
-    """A window about the third line of each document, of at most 600 characters."""
-    files = code_files(spark, d).select("file_id", T.lines_of(F.col("content")).alias("lines")).filter(F.size("lines") >= 3)
-    return files.select("file_id", T.expanded(F.col("lines"), F.lit(3), F.lit(3), 40, 40, 600).alias("w")).select("file_id", "w.start_line", "w.end_line", F.length("w.text").alias("n_chars"))
-
-
 GROWN_SQL = """
 WITH l AS (SELECT file_id, CASE WHEN content = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(CASE WHEN ends_with(content, chr(10)) THEN content[:-2] ELSE content END, chr(10)) END AS lines FROM code_files WHERE content IS NOT NULL),
 n AS (SELECT *, least(3, len(lines)) AS mid, greatest(1, least(3, len(lines)) - 40) AS lo, least(len(lines), least(3, len(lines)) + 40) AS hi FROM l),
@@ -69,13 +62,6 @@ def f16_line_slice(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.array_join(F.slice(F.split("text", "\n"), 2, 3), "\n").alias("slice"))
 
 
-@query("SELECT doc_id, CAST(length(left(text, instr(text, s) - 1)) - length(replace(left(text, instr(text, s) - 1), chr(10), '')) + 1 AS INT) AS start_line FROM (SELECT doc_id, text, trim(substr(text, CAST(length(text) // 2 AS BIGINT), 30)) AS s FROM documents WHERE length(text) > 200) WHERE length(s) > 0 AND NOT contains(s, chr(10))")
-def x12_line_span(spark: SparkSession, d: str) -> DataFrame:
-    s = F.trim(F.substr("text", F.floor(F.length("text") / 2).cast("int"), F.lit(30)))
-    docs = read(spark, d, "documents").filter(F.length("text") > 200).withColumn("s", s).filter((F.length("s") > 0) & ~F.contains("s", F.lit("\n")))
-    return docs.select("doc_id", T.line_span(F.col("text"), F.col("s")).getField("start_line").alias("start_line"))
-
-
 SPAN_SQL = """
 WITH n AS (SELECT doc_id, text, trim(substr(text, greatest(1, CAST(length(text) // 2 AS BIGINT)), 30)) AS c FROM documents),
 s AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 1 THEN c || chr(10) || '~changed' ELSE c END AS s FROM n),
@@ -99,11 +85,6 @@ def x23_truncation(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", T.truncated(F.col("text"), 300).alias("short"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) <= 400 THEN text WHEN contains(left(text, 400), chr(10)) THEN left(left(text, 400), 400 - instr(reverse(left(text, 400)), chr(10))) ELSE left(text, 400) END AS head FROM documents WHERE NOT contains(text, chr(10) || chr(10))")
-def x24_safe_cut(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").filter(~F.contains("text", F.lit("\n\n"))).select("doc_id", T.safe_cut(F.col("text"), 400).alias("head"))
-
-
 @query("SELECT doc_id, CASE WHEN length(text) <= 400 THEN text WHEN contains(left(text, 400), chr(10) || chr(10)) THEN left(text, 400 - instr(reverse(left(text, 400)), chr(10) || chr(10)) - 1) WHEN contains(left(text, 400), chr(10)) THEN left(text, 400 - instr(reverse(left(text, 400)), chr(10))) ELSE left(text, 400) END AS head FROM documents")
 def x24_safe_cut_of_all(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", T.safe_cut(F.col("text"), 400).alias("head"))

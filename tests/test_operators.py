@@ -153,7 +153,7 @@ def test_thoughts_and_probe(spark):
 
 def test_scan_keeps_one_hit_a_line_and_kind(spark):
     lines = spark.createDataFrame([(1, 'cursor.execute("x"); cursor.execute("y")'), (2, "eval(x)  "), (3, "plain")], "line_no int, line string")
-    assert sorted((r["line_no"], r["kind"]) for r in P.scan(lines, P.CATALOG["sink"]).collect()) == [(1, "sql_execute"), (2, "code_eval")]
+    assert sorted((r["line_no"], r["kind"]) for r in P.scan(lines, P.CATALOG["sink"]).collect()) == [(1, "sql_execute"), (2, "eval_exec")]
 
 
 def test_verdict_words(spark):
