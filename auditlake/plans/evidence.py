@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.operators import evidence as E
+from auditlake.operators import fitting as X
 from auditlake.operators import patterns as P
 from auditlake.plans.patterns import NULLIFY_SQL, SEVERITY_SQL, hits, hits_sql
 from auditlake.registry import query
@@ -214,7 +215,7 @@ RANK_SQL = f"CASE {SEVERITY_SQL} WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN
 VERDICT_SQL = f"CASE family WHEN 'flow' THEN {FLOW_SQL} WHEN 'access' THEN {ACCESS_SQL} ELSE {CONFIG_SQL} END"
 
 
-@query(with_sql("code_lines", f"""WITH {hits_sql('sink')}, src AS ({P.scan_sql(P.CATALOG['source'])}), en AS ({P.scan_sql(P.CATALOG['entry'])}), mi AS ({P.scan_sql(P.CATALOG['mitigation'])}), co AS ({P.scan_sql(P.CATALOG['control'])}), cf AS ({P.scan_sql(P.CATALOG['config'])}),
+JOINED_SQL = f"""WITH {hits_sql('sink')}, src AS ({P.scan_sql(P.CATALOG['source'])}), en AS ({P.scan_sql(P.CATALOG['entry'])}), mi AS ({P.scan_sql(P.CATALOG['mitigation'])}), co AS ({P.scan_sql(P.CATALOG['control'])}), cf AS ({P.scan_sql(P.CATALOG['config'])}),
 var AS (SELECT s.file_id, s.line_no AS src_line, nullif(regexp_extract(l.line, '^\\s*(?:let |var |const |final )?([$@]?[A-Za-z_][A-Za-z0-9_]*)\\s*:?=\\s*([^=].*)$', 1), '') AS variable FROM src s JOIN code_lines l USING (file_id, line_no)),
 k AS (SELECT h.*, l.line FROM hits h JOIN code_lines l USING (file_id, line_no)),
 reach AS (SELECT DISTINCT k.file_id, k.kind FROM k JOIN en ON en.file_id = k.file_id AND k.line_no BETWEEN en.line_no - 3 AND en.line_no + 5),
@@ -225,7 +226,10 @@ ev AS (SELECT f.file_id, f.kind, 'flow' AS family, f.file_id IN (SELECT file_id
   FROM (SELECT DISTINCT file_id, unnest(['access', 'config']) AS family FROM code_lines) a
   LEFT JOIN (SELECT file_id, count(DISTINCT kind) FILTER (kind IN ('login_required', 'permission_check', 'csrf_protection')) AS present FROM co GROUP BY 1) c ON c.file_id = a.file_id
   LEFT JOIN (SELECT file_id, count(*) AS found, max({RANK_SQL}) AS top_rank FROM cf GROUP BY 1) g ON g.file_id = a.file_id)
-SELECT file_id, family, kind, v.s AS status, CAST(v.c AS DOUBLE) AS confidence FROM (SELECT *, {VERDICT_SQL} AS v FROM ev)"""))
+SELECT file_id, family, kind, v.s AS status, CAST(v.c AS DOUBLE) AS confidence FROM (SELECT *, {VERDICT_SQL} AS v FROM ev)"""
+
+
+@query(with_sql("code_lines", JOINED_SQL))
 def v4_joined_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Verdicts over the evidence that the scans of the files themselves give, in one scan of all kinds."""
     groups = {g: list(P.CATALOG[g]) for g in ("sink", "source", "entry", "mitigation", "control", "config")}
@@ -236,6 +240,44 @@ def v4_joined_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return ev.withColumn("v", v).select("file_id", "family", "kind", "v.status", "v.confidence")
 
 
+#: Lists of a finding's document, in order, with the group of hits that each holds; `notes` are the file's other sinks.
+LISTS = [("entry_points", "entry"), ("sources", "source"), ("mitigations", "mitigation"), ("control_checks", "control"), ("config_findings", "config"), ("citations", "sink"), ("notes", "sink")]
+
+
+@query(with_sql("code_lines", f"""WITH joined AS ({JOINED_SQL}),
+hit AS ({" UNION ALL ".join(f"SELECT file_id, line_no, kind, '{g}' AS grp FROM ({P.scan_sql(P.CATALOG[g])})" for g in ("entry", "source", "mitigation", "control", "config", "sink"))}),
+f AS (SELECT file_id, family, kind, (file_id * 37) % 560 AS budget, '{{"status":"' || status || '","confidence":' || CAST(round(confidence * 100) AS INT) || ',"family":"' || family || '","kind":"' || kind || '"}}' AS core FROM joined),
+l0 AS (SELECT f.file_id, f.family, f.kind, n.idx, n.name, list('{{"line":' || hit.line_no || ',"kind":"' || hit.kind || '"}}' ORDER BY hit.line_no, hit.kind) AS it
+  FROM f JOIN hit USING (file_id) JOIN (VALUES {", ".join(f"({i}, '{n}', '{g}')" for i, (n, g) in enumerate(LISTS))}) n(idx, name, grp) ON n.grp = hit.grp
+  WHERE CASE n.name WHEN 'citations' THEN hit.kind = f.kind WHEN 'notes' THEN hit.kind <> f.kind ELSE true END GROUP BY ALL),
+l1 AS (SELECT f.*, l0.* EXCLUDE (file_id, family, kind), len(it) AS n, l0.name IN ('citations', 'notes') AS ev, list_append(it[1 : len(it) // 2], '{{"_truncated":true,"_omitted_count":' || (len(it) - len(it) // 2) || '}}') AS hi FROM f LEFT JOIN l0 USING (file_id, family, kind)),
+l2 AS (SELECT *, CASE WHEN ev AND len(hi) <= 3 THEN hi WHEN ev THEN list_append(hi[1:3], '{{"_truncated":true,"_omitted_count":' || (len(hi) - 3) || '}}') ELSE ['{{"_truncated":true,"_omitted_count":' || len(hi) || '}}'] END AS ci FROM l1),
+l3 AS (SELECT *, array_to_string(it, ',') AS t0, array_to_string(hi, ',') AS t1, array_to_string(ci, ',') AS t2, count(*) FILTER (n > 1) OVER (PARTITION BY file_id, family, kind) AS n_long,
+  CASE WHEN n > 1 THEN row_number() OVER (PARTITION BY file_id, family, kind, n > 1 ORDER BY -n, idx) END AS hr, CASE WHEN n > 1 THEN row_number() OVER (PARTITION BY file_id, family, kind, n > 1 ORDER BY ev, n // 2, name) END AS cr FROM l2),
+base AS (SELECT file_id, family, kind, any_value(budget) AS budget, any_value(core) AS core, any_value(n_long) AS n_long, length(any_value(core)) + coalesce(sum(length(name) + 6 + length(t0)), 0) AS size FROM l3 GROUP BY 1, 2, 3),
+st AS (SELECT file_id, family, kind, hr AS ord, length(t1) - length(t0) AS delta FROM l3 WHERE n > 1 UNION ALL SELECT file_id, family, kind, n_long + cr, length(t2) - length(t1) FROM l3 WHERE n > 1),
+run AS (SELECT file_id, family, kind, ord, sum(delta) OVER (PARTITION BY file_id, family, kind ORDER BY ord) AS less FROM st),
+pick AS (SELECT b.file_id, b.family, b.kind, CASE WHEN any_value(b.size) <= any_value(b.budget) THEN 0 ELSE min(ord) FILTER (b.size + less <= b.budget) END AS k FROM base b LEFT JOIN run r ON r.file_id = b.file_id AND r.family = b.family AND r.kind = b.kind GROUP BY 1, 2, 3),
+body AS (SELECT l3.file_id, l3.family, l3.kind, coalesce(string_agg(',"' || name || '":[' || CASE WHEN n > 1 AND n_long + cr <= k THEN t2 WHEN n > 1 AND hr <= k THEN t1 ELSE t0 END || ']', '' ORDER BY idx), '') AS rest FROM l3 JOIN pick p ON p.file_id = l3.file_id AND p.family = l3.family AND p.kind = l3.kind GROUP BY 1, 2, 3)
+SELECT b.file_id, b.family, b.kind, b.budget, CASE WHEN k IS NOT NULL THEN left(core, length(core) - 1) || rest || '}}' WHEN length(core) <= b.budget THEN core WHEN b.budget <= {len(X.SUFFIX)} THEN left(core, b.budget) ELSE left(core, b.budget - {len(X.SUFFIX)}) || '{X.SUFFIX}' END AS text,
+  CASE WHEN k = 0 THEN 'fits_initial' WHEN k <= n_long THEN 'halved_lists' WHEN k IS NOT NULL THEN 'dropped_lists' WHEN length(core) <= b.budget THEN 'core_only' ELSE 'hard_cap' END AS stage, CASE WHEN k IS NULL THEN n_long ELSE greatest(0, k - n_long) END AS n_cut
+FROM base b JOIN pick p ON p.file_id = b.file_id AND p.family = b.family AND p.kind = b.kind JOIN body y ON y.file_id = b.file_id AND y.family = b.family AND y.kind = b.kind"""))
+def x28_fitted_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of the joined verdicts with their evidence, each fitted into a budget of its own. A file's lists are as
+    long as its hits."""
+    groups = {g: list(P.CATALOG[g]) for g in ("sink", "source", "entry", "mitigation", "control", "config")}
+    found = P.scan(code_lines(spark, d), {k: p for g in groups for k, p in P.CATALOG[g].items()})
+    item = F.struct("line_no", "kind", F.concat(F.lit('{"line":'), F.col("line_no").cast("string"), F.lit(',"kind":"'), "kind", F.lit('"}')).alias("json"))
+    per_file = found.groupBy("file_id").agg(*(F.array_sort(F.collect_list(F.when(F.col("kind").isin(kinds), item))).alias(f"_{g}") for g, kinds in groups.items()))
+    rows = v4_joined_verdicts(spark, d).join(per_file, "file_id", "left")
+    own = {"citations": lambda x: x.kind == F.col("kind"), "notes": lambda x: x.kind != F.col("kind")}
+    items = lambda name, g: F.transform(F.filter(f"_{g}", own.get(name, lambda x: F.lit(True))), lambda x: x.json)
+    lists = F.array(*(F.struct(F.lit(name).alias("name"), items(name, g).alias("items")) for name, g in LISTS))
+    core = F.concat(F.lit('{"status":"'), "status", F.lit('","confidence":'), F.round(F.col("confidence") * 100).cast("int").cast("string"), F.lit(',"family":"'), "family", F.lit('","kind":"'), "kind", F.lit('"}'))
+    budget = (F.col("file_id") * 37) % 560
+    return rows.withColumn("budget", budget).withColumn("x", X.fitted(core, lists, F.col("budget"))).select("file_id", "family", "kind", "budget", "x.text", "x.stage", "x.n_cut")
+
+
 #: Stages of each family, in order. Fixed values.
 ROUTES = {"flow": ["entry_points", "trace", "taint", "mitigations", "verdict"], "access": ["entry_points", "authz", "verdict"], "config": ["config_audit", "verdict"]}
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.names import cache_key, extension
+from auditlake.operators import boundaries as B
 from auditlake.operators import models as M
 from auditlake.registry import query
 from auditlake.sources import stores as S
-from auditlake.sources.derived import code_files, code_lines, read, with_sql
+from auditlake.sources.derived import code_files, code_lines, program_lines, program_lines_sql, read, with_sql
 
 
 @query(with_sql("code_files", "SELECT file_id, path FROM code_files WHERE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) IN ('en', 'fr')"))
@@ -136,7 +137,10 @@ def u3_deep_stage(spark: SparkSession, d: str) -> DataFrame:
     return M.deep(files, M.StubDeep()).select("file_id", "attempts", "status", F.length("payload").alias("n_chars"))
 
 
-@query()
+LANGUAGES = [*B.STARTS, "txt"]
+
+
+@query(f"WITH {program_lines_sql(LANGUAGES)}, {B.bounds_sql('program_lines')}")
 def x30_function_extraction(spark: SparkSession, d: str) -> DataFrame:
-    files = code_lines(spark, d).groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line), "\n").alias("content"))
-    return M.functions(files, "file_id")
+    """Functions of programs in all languages of the table and one that it has not."""
+    return B.function_bounds(program_lines(spark, d, LANGUAGES))

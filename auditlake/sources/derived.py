@@ -79,6 +79,53 @@ CODE_LINES = f"""code_lines AS (
          replace(replace(list_extract({sql_list(TEMPLATES)}, CAST(l_partkey % {len(TEMPLATES)} + 1 AS INT)), '{{s}}', CAST(l_suppkey % 3 AS VARCHAR)), '{{n}}', CAST(l_suppkey % 37 AS VARCHAR)) AS line
   FROM lineitem)"""
 
+# --- programs: suppliers as files of many lines, in every language of the boundary table ---------
+
+#: Lines with blocks, strings and comments that hold braces, and starts of functions; {s} is a small number.
+PROGRAM = [
+    "function f{s}(a) {",
+    "def g{s}(x):",
+    "public static int h{s}(int a) {",
+    "    return a + {s};",
+    "}",
+    "  }",
+    "func k{s}(a int) {",
+    '  text = "{ not a block }";',
+    "  // } a comment {",
+    "  # } another {",
+    "/* a block { comment",
+    "   goes on } here */ x = 1;",
+    "  if (x) { y = {s}; } else {",
+    "int m{s}(char *p) { return 0; }",
+    "    def inner{s}(self):",
+    "        pass",
+    "",
+    "  fun p{s}(x: Int) = x",
+    "f{s}() {",
+    "end",
+    "x{s} = 'it\\'s { quoted'",
+    "sub q{s} {",
+    "} else {",
+    "let r{s} = 1",
+]
+
+
+def program_lines(spark: SparkSession, sf_dir: str, languages: list[str]) -> DataFrame:
+    """file_id, lang, line_no, line"""
+    li = read(spark, sf_dir, "lineitem")
+    order = W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+    line = F.replace(F.element_at(literals(PROGRAM), ((F.col("l_partkey") + F.col("l_orderkey")) % len(PROGRAM) + 1).cast("int")), F.lit("{s}"), (F.col("l_partkey") % 5).cast("string"))
+    return li.select(F.col("l_suppkey").alias("file_id"), F.element_at(literals(languages), (F.col("l_suppkey") % len(languages) + 1).cast("int")).alias("lang"), F.row_number().over(order).cast("long").alias("line_no"), line.alias("line"))
+
+
+def program_lines_sql(languages: list[str]) -> str:
+    return f"""program_lines AS (
+  SELECT l_suppkey AS file_id, list_extract({sql_list(languages)}, CAST(l_suppkey % {len(languages)} + 1 AS INT)) AS lang,
+         row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax) AS line_no,
+         replace(list_extract({sql_list(PROGRAM)}, CAST((l_partkey + l_orderkey) % {len(PROGRAM)} + 1 AS INT)), '{{s}}', CAST(l_partkey % 5 AS VARCHAR)) AS line
+  FROM lineitem)"""
+
+
 # --- vectors ------------------------------------------------------------------------------------
 
 N_TYPES = 8
