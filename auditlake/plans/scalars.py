@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import jsonfix as J
 from auditlake.functions import names as N
+from auditlake.operators import previews as P
 from auditlake.registry import query
 from auditlake.sources.derived import read, with_sql
 
@@ -200,9 +201,46 @@ def l8_clipped_list(spark: SparkSession, d: str) -> DataFrame:
     return g.select("source", F.concat(F.array_join(F.transform("f", lambda x: x.cast("string")), ","), F.lit(" (+"), (F.col("n") - 5).cast("string"), F.lit(")")).alias("clipped"))
 
 
-@query("SELECT page_id, regexp_replace(regexp_replace(html, '<script[^>]*>', '', 'g'), '</script>', '', 'g') AS html FROM pages")
+#: Pages as report previews: links by relative and by mangled paths, an export-only header, and short paragraphs as headings.
+PREVIEW_PAGES = """preview_pages AS (SELECT page_id, 'proj/run_' || (page_id % 7) || '/md' AS folder,
+  regexp_replace(regexp_replace(replace(replace(html, 'href="/', CASE page_id % 3 WHEN 0 THEN 'href="../pdf/' WHEN 1 THEN 'href="/html/' ELSE 'href="./' END), '<article>', '<div class="x report-header"><div>Exported <b>today<br></div></div><article>'),
+    '<p>([^<]{1,60})</p>', '<h2>\\1</h2>', 'g'), '<p>([^<]{61,140})</p>', '<h3>\\1</h3>', 'g') AS html FROM pages)"""
+
+
+def preview_pages(spark: SparkSession, d: str) -> DataFrame:
+    start = F.when(F.col("page_id") % 3 == 0, 'href="../pdf/').when(F.col("page_id") % 3 == 1, 'href="/html/').otherwise('href="./')
+    html = F.replace(F.replace("html", F.lit('href="/'), start), F.lit("<article>"), F.lit('<div class="x report-header"><div>Exported <b>today<br></div></div><article>'))
+    html = F.regexp_replace(F.regexp_replace(html, "<p>([^<]{1,60})</p>", "<h2>$1</h2>"), "<p>([^<]{61,140})</p>", "<h3>$1</h3>")
+    return read(spark, d, "pages").select("page_id", F.concat(F.lit("proj/run_"), F.col("page_id") % 7, F.lit("/md")).alias("folder"), html.alias("html"))
+
+
+@query(f"""WITH {PREVIEW_PAGES},
+x AS (SELECT page_id, folder, regexp_replace(html, '<div class="x report-header">.*?</div></div>', '', 'gs') AS kept FROM preview_pages)
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN replace(kept, 'href="../pdf/', 'href="/reports/proj/run_' || (page_id % 7) || '/pdf/') WHEN 1 THEN replace(kept, 'href="/html/', 'href="/reports/proj/run_' || (page_id % 7) || '/html/') ELSE replace(kept, 'href="./', 'href="/reports/' || folder || '/') END AS html, len(regexp_extract_all(kept, '<a href="')) AS n_links FROM x""")
+def x36_preview(spark: SparkSession, d: str) -> DataFrame:
+    """Pages without export headers, their links rewritten."""
+    found = P.previews(preview_pages(spark, d))
+    return found.select("page_id", "html", F.size("links").cast("long").alias("n_links"))
+
+
+@query(f"""WITH {PREVIEW_PAGES}, x AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS before, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">', 1), 1) - 1 AS ord, 'proj/run_' || (page_id % 7) AS run FROM preview_pages)
+SELECT page_id, CAST(ord AS INT) AS ord, before, CASE page_id % 3 WHEN 0 THEN '/reports/' || run || substr(before, 3) WHEN 1 THEN '/reports/' || run || before ELSE '/reports/' || run || '/md' || substr(before, 2) END AS after FROM x""")
 def x36_html_links(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_replace("html", "<script[^>]*>", ""), "</script>", "").alias("html"))
+    """Every link that is rewritten, with what it becomes."""
+    return P.previews(preview_pages(spark, d)).select("page_id", F.posexplode("links").alias("ord", "l")).select("page_id", "ord", "l.before", "l.after")
+
+
+@query(f"""WITH {PREVIEW_PAGES}, x AS (SELECT page_id, unnest(regexp_extract_all(html, '<h([123])>[^<]*</h', 1)) AS lv, unnest(regexp_extract_all(html, '<h[123]>([^<]*)</h', 1)) AS raw, generate_subscripts(regexp_extract_all(html, '<h([123])>[^<]*</h', 1), 1) - 1 AS ord FROM preview_pages),
+y AS (SELECT page_id, ord, CAST(lv AS INT) AS level, trim(regexp_replace(replace(raw, '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM x),
+z AS (SELECT *, coalesce(nullif(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'section') AS slug,
+  coalesce((SELECT max(u.ord) FROM y u WHERE u.page_id = y.page_id AND u.ord <= y.ord AND u.level = 1), -1) AS h1, coalesce((SELECT max(u.ord) FROM y u WHERE u.page_id = y.page_id AND u.ord <= y.ord AND u.level <= 2), -1) AS h2 FROM y)
+SELECT page_id, CAST(ord AS INT) AS ord, level, (SELECT count(*) FROM z u WHERE u.page_id = z.page_id AND u.level = 1 AND u.ord <= z.ord)
+  || CASE WHEN level >= 2 THEN '.' || (SELECT count(*) FROM z u WHERE u.page_id = z.page_id AND u.level = 2 AND u.ord <= z.ord AND u.ord > z.h1) ELSE '' END
+  || CASE WHEN level >= 3 THEN '.' || (SELECT count(*) FROM z u WHERE u.page_id = z.page_id AND u.level = 3 AND u.ord <= z.ord AND u.ord > z.h2) ELSE '' END AS number,
+  CASE WHEN row_number() OVER (PARTITION BY page_id, slug ORDER BY ord) = 1 THEN slug ELSE slug || '-' || row_number() OVER (PARTITION BY page_id, slug ORDER BY ord) END AS anchor, title FROM z""")
+def x36_contents(spark: SparkSession, d: str) -> DataFrame:
+    """Tables of contents."""
+    return P.contents(P.previews(preview_pages(spark, d)), "page_id")
 
 
 @query("SELECT doc_id, (SELECT max(b) FROM (SELECT unnest([1, 2]) AS b)) * 0 + least(5, 1 + doc_id % 9) AS n_kept FROM documents")
