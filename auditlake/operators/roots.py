@@ -53,8 +53,8 @@ def load_index(spark: SparkSession, path: str, columns: list[str], suffixes: lis
 
 
 def rendered_reports(findings: DataFrame) -> DataFrame:
-    """(format, report_id, line_no, line): Markdown and HTML lines of each report's severities; one JSON and one SARIF line
-    each. findings: report_id, severity, level."""
+    """(format, report_id, line): Markdown and HTML lines of each report's severities; one JSON and one SARIF line
+    each, in no order; `bodies` renders whole reports in order. findings: report_id, severity, level."""
     by = findings.groupBy("report_id", "severity", "level").agg(F.count("*").alias("n"))
     n = F.col("n").cast("string")
     lines = by.select(

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.operators import bodies as D
 from auditlake.operators import reports as R
 from auditlake.operators import roots as O
 from auditlake.registry import query
@@ -74,3 +75,43 @@ def s20_report_sinks(spark: SparkSession, d: str) -> DataFrame:
     rows = findings(spark, d)
     O.write_reports(O.rendered_reports(rows.select("report_id", "severity", R.level(F.col("severity")).alias("level"))), path)
     return O.read_reports(spark, path)
+
+
+def _body_sql(fmt: str, kinds: dict[str, list[str]]) -> str:
+    """Lines of one format: of each node its texts, by path in the tree."""
+    parts = [f"SELECT report_id, file_ord, step, ch, {k} AS kd, rank, severity, title, ln, coalesce(last, false) AS last, {i} AS k, {text} AS line FROM node WHERE kind = '{name}'" for k, (name, texts) in enumerate(kinds.items()) for i, text in enumerate(texts)]
+    return f"SELECT '{fmt}' AS format, report_id, row_number() OVER (PARTITION BY report_id ORDER BY file_ord, step, ch, kd, rank, severity, title, ln, last, k) AS line_no, line FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+def _html(x: str) -> str:
+    return f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+SCORE = "score"
+BODIES = {
+    "md": {"report": ["'# Report ' || report_id", "''", "'| Severity | Findings |'", "'| --- | --- |'"], "severity": ["'| ' || severity || ' | ' || n || ' |'"], "end_summary": ["''"], "file": [f"'## ' || path || ' (' || {SCORE} || ')'", "''"],
+           "chunk": ["'### Chunk ' || ch"], "finding": ["'- **[' || severity || ']** ' || title || ' (line ' || ln || ')'"], "end_file": ["''"], "end_report": ["'_' || n || ' findings_'"]},
+    "html": {"report": ["'<h1>Report ' || report_id || '</h1>'", "'<table>'"], "severity": ["'<tr><td>' || severity || '</td><td>' || n || '</td></tr>'"], "end_summary": ["'</table>'"], "file": [f"'<section><h2>' || {_html('path')} || ' (' || {SCORE} || ')</h2>'", "'<ul>'"],
+             "chunk": ["'<li class=\"chunk\">Chunk ' || ch || '</li>'"], "finding": [f"'<li><b>' || severity || '</b> ' || {_html('title')} || ' (line ' || ln || ')</li>'"], "end_file": ["'</ul></section>'"], "end_report": ["'<p>' || n || ' findings</p>'"]},
+    "json": {"report": ["'{\"report\":' || report_id || ',\"summary\":{'"], "severity": ["'\"' || severity || '\":' || n || CASE WHEN last THEN '' ELSE ',' END"], "end_summary": ["'},\"files\":['"], "file": ["'{\"path\":' || to_json(path) || ',\"score\":' || score || ',\"findings\":['"],
+             "finding": ["'{\"chunk\":' || ch || ',\"severity\":\"' || severity || '\",\"title\":' || to_json(title) || ',\"line\":' || ln || '}' || CASE WHEN last THEN '' ELSE ',' END"], "end_file": ["']}' || CASE WHEN last THEN '' ELSE ',' END"], "end_report": ["'],\"total\":' || n || '}'"]},
+    "sarif": {"report": ["'{\"version\":\"2.1.0\",\"runs\":[{\"tool\":{\"driver\":{\"name\":\"auditlake\"}},\"properties\":{\"report\":' || report_id || '},\"results\":['"],
+              "finding": ["'{\"ruleId\":\"' || severity || '\",\"level\":\"' || CASE WHEN severity IN ('Critical', 'High') THEN 'error' WHEN severity = 'Low' THEN 'note' ELSE 'warning' END || '\",\"message\":{\"text\":' || to_json(title) || '},\"locations\":[{\"physicalLocation\":{\"artifactLocation\":{\"uri\":' || to_json(path) || '},\"region\":{\"startLine\":' || ln || '}}}]}' || CASE WHEN last AND last_file THEN '' ELSE ',' END"],
+              "end_report": ["']}]}'"]},
+}
+
+
+@query(with_sql("findings", """WITH f AS (SELECT report_id, file_path AS path, chunk, severity, title, line, CASE severity WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 3 WHEN 'Info' THEN 4 ELSE 5 END AS rank, score FROM findings),
+fo AS (SELECT report_id, path, max(score) AS score, row_number() OVER (PARTITION BY report_id ORDER BY max(score) DESC, path) AS file_ord, count(*) OVER (PARTITION BY report_id) AS n_files FROM f GROUP BY 1, 2),
+g AS (SELECT f.report_id, f.path, f.chunk, f.severity, f.title, f.line, f.rank, fo.file_ord, fo.file_ord = n_files AS last_file, row_number() OVER (PARTITION BY f.report_id, file_ord ORDER BY f.chunk DESC, f.rank DESC, f.title DESC, f.line DESC) = 1 AS last FROM f JOIN fo USING (report_id, path)),
+node AS (SELECT 'finding' AS kind, report_id, file_ord, 1 AS step, chunk AS ch, rank, severity, title, line AS ln, NULL AS n, path, NULL AS score, last, last_file FROM g
+  UNION ALL SELECT 'chunk', report_id, file_ord, 1, chunk, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT DISTINCT report_id, file_ord, chunk FROM g)
+  UNION ALL SELECT k, report_id, file_ord, s, NULL, NULL, NULL, NULL, NULL, NULL, path, score, file_ord = n_files, NULL FROM fo, (VALUES ('file', 0), ('end_file', 2)) v(k, s)
+  UNION ALL SELECT 'severity', report_id, -1, 0, NULL, rank, severity, NULL, NULL, count(*), NULL, NULL, rank = max(rank) OVER (PARTITION BY report_id), NULL FROM f GROUP BY report_id, rank, severity
+  UNION ALL SELECT k, report_id, o, s, NULL, NULL, NULL, NULL, NULL, n, NULL, NULL, NULL, NULL FROM (SELECT report_id, count(*) AS n FROM f GROUP BY 1), (VALUES ('report', -1, 0), ('end_summary', -1, 0), ('end_report', 1099511627776, 2)) v(k, o, s))
+""" + " UNION ALL ".join(_body_sql(fmt, kinds) for fmt, kinds in BODIES.items())))
+def s20_report_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Whole reports in four formats, written as files and read back line by line."""
+    path = f"{shared_folder(spark)}/bodies-{uuid.uuid4().hex}"
+    D.write_bodies(D.rendered(D.nodes(findings(spark, d))), path)
+    return D.read_bodies(spark, path)
