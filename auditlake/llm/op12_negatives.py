@@ -90,12 +90,15 @@ def _same_width(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def halves(x: np.ndarray) -> tuple[int, float, np.ndarray]:
-    """The dimension in which rows differ most, where to cut it, and who lies below."""
+    """The dimension in which rows differ most, where to cut it, and who lies below: at the widest gap of the middle half
+    of the values, so that what lies together stays together. All lie below if that dimension has one value there."""
     d = int(np.argmax(x.max(axis=0) - x.min(axis=0))) if x.shape[1] else 0
     values = x[:, d] if x.shape[1] else np.zeros(len(x))
-    cut = float(np.median(values))
-    below = values < cut
-    return d, cut, below if below.any() else values <= cut
+    middle = np.sort(values)[len(x) // 4 : len(x) - len(x) // 4]
+    gaps = np.diff(middle)
+    at = int(np.argmax(gaps)) if len(gaps) else 0
+    cut = float(middle[at])
+    return d, cut, values <= cut
 
 
 class Tree:
@@ -114,7 +117,7 @@ class Tree:
             low.append(int(labels[own].min())), high.append(int(labels[own].max()))
             if b - a > leaf:
                 _, _, below = halves(rows)
-                if below.all():  # equal rows: any halves do
+                if below.all() or not below.any():  # no gap: any halves do
                     below = np.arange(b - a) < (b - a) // 2
                 self.order[a:b] = np.concatenate([own[below], own[~below]])
                 cut = a + int(below.sum())
@@ -250,7 +253,7 @@ class Cells:
                 if not below.all():
                     at = len(self.cuts)
                     self.cuts.append((d, cut, 0, 0))
-                    # `below` may be "at most"; then the cut moves up to the next value.
+                    # Rows lie below a cut that is the next value of the sample.
                     cut = float(x[~below, d].min())
                     self.cuts[at] = (d, cut, grow(x[below], cells // 2), grow(x[~below], cells - cells // 2))
                     return at

@@ -77,3 +77,23 @@ def test_op12_bounds_hold():
             s = x[a.order[a.begin[i] : a.end[i]]] @ y[b.order[b.begin[j] : b.end[j]]].T
             low, high = op.intervals(a, np.array([i]), b, np.array([j]))
             assert low[0] <= s.min() and s.max() <= high[0]
+
+
+def test_op12_drops_pairs_of_nodes(monkeypatch):
+    """On clustered vectors most products are never made, and the best are those of all rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.normal(0, 200, (96, 16)), 128, axis=0).round() + rng.integers(-4, 5, (96 * 128, 16))
+    labels, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+    a = np.arange(0, len(x) // 8, 4)  # enough targets a cluster to fill leaves
+    n, made, real = len(a), [], op.scores
+    monkeypatch.setattr(op, "scores", lambda p, q, kind: made.append(len(p) * len(q)) or real(p, q, kind))
+    ones = np.ones(n, np.int64)
+    block = op.Block(x[a], a, labels[a], np.arange(n), ones.astype(bool), op.LEAST * ones, op.GREATEST * ones, op.LEAST * ones)
+    target, place, score = op.search(block, x, rows, rows, labels, op.Tree(x, labels, op.LEAF_ROWS), 5)
+    every = x[a] @ x.T
+    every[np.arange(n), a] = -np.inf
+    best = np.lexsort((np.broadcast_to(rows, every.shape), -every), axis=1)[:, :5]
+    assert sorted(zip(target.tolist(), place.tolist(), strict=True)) == sorted((i, int(j)) for i in range(n) for j in best[i])
+    assert sum(made) < 0.5 * n * len(x)
