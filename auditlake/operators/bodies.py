@@ -75,6 +75,7 @@ def rendered(tree: DataFrame) -> DataFrame:
     kind, comma = F.col("kind"), F.when(F.col("last"), "").otherwise(",")
     n, title, path, severity, line, chunk = F.col("n").cast("string"), F.col("title"), _text("file_path"), F.col("severity"), _text("line"), _text("chunk")
     number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    tree = tree.withColumn("score", F.floor(F.col("score") * 1000) / 1000)
     score = _text("score")
     level = F.lit("warning")
     for s, v in RANKS.items():

@@ -87,13 +87,13 @@ def _html(x: str) -> str:
     return f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
 
-SCORE = "score"
+SCORE = "(floor(score * 1000) / 1000)"
 BODIES = {
     "md": {"report": ["'# Report ' || report_id", "''", "'| Severity | Findings |'", "'| --- | --- |'"], "severity": ["'| ' || severity || ' | ' || n || ' |'"], "end_summary": ["''"], "file": [f"'## ' || path || ' (' || {SCORE} || ')'", "''"],
            "chunk": ["'### Chunk ' || ch"], "finding": ["'- **[' || severity || ']** ' || title || ' (line ' || ln || ')'"], "end_file": ["''"], "end_report": ["'_' || n || ' findings_'"]},
     "html": {"report": ["'<h1>Report ' || report_id || '</h1>'", "'<table>'"], "severity": ["'<tr><td>' || severity || '</td><td>' || n || '</td></tr>'"], "end_summary": ["'</table>'"], "file": [f"'<section><h2>' || {_html('path')} || ' (' || {SCORE} || ')</h2>'", "'<ul>'"],
              "chunk": ["'<li class=\"chunk\">Chunk ' || ch || '</li>'"], "finding": [f"'<li><b>' || severity || '</b> ' || {_html('title')} || ' (line ' || ln || ')</li>'"], "end_file": ["'</ul></section>'"], "end_report": ["'<p>' || n || ' findings</p>'"]},
-    "json": {"report": ["'{\"report\":' || report_id || ',\"summary\":{'"], "severity": ["'\"' || severity || '\":' || n || CASE WHEN last THEN '' ELSE ',' END"], "end_summary": ["'},\"files\":['"], "file": ["'{\"path\":' || to_json(path) || ',\"score\":' || score || ',\"findings\":['"],
+    "json": {"report": ["'{\"report\":' || report_id || ',\"summary\":{'"], "severity": ["'\"' || severity || '\":' || n || CASE WHEN last THEN '' ELSE ',' END"], "end_summary": ["'},\"files\":['"], "file": ["'{\"path\":' || to_json(path) || ',\"score\":' || (floor(score * 1000) / 1000) || ',\"findings\":['"],
              "finding": ["'{\"chunk\":' || ch || ',\"severity\":\"' || severity || '\",\"title\":' || to_json(title) || ',\"line\":' || ln || '}' || CASE WHEN last THEN '' ELSE ',' END"], "end_file": ["']}' || CASE WHEN last THEN '' ELSE ',' END"], "end_report": ["'],\"total\":' || n || '}'"]},
     "sarif": {"report": ["'{\"version\":\"2.1.0\",\"runs\":[{\"tool\":{\"driver\":{\"name\":\"auditlake\"}},\"properties\":{\"report\":' || report_id || '},\"results\":['"],
               "finding": ["'{\"ruleId\":\"' || severity || '\",\"level\":\"' || CASE WHEN severity IN ('Critical', 'High') THEN 'error' WHEN severity = 'Low' THEN 'note' ELSE 'warning' END || '\",\"message\":{\"text\":' || to_json(title) || '},\"locations\":[{\"physicalLocation\":{\"artifactLocation\":{\"uri\":' || to_json(path) || '},\"region\":{\"startLine\":' || ln || '}}}]}' || CASE WHEN last AND last_file THEN '' ELSE ',' END"],
