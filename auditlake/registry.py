@@ -33,7 +33,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 @cache
 def _load() -> None:
-    from auditlake.plans import evidence, index, patterns, progress, reports, roots, scalars, scoring, stores, texts  # noqa: F401
+    from auditlake.plans import evidence, index, patterns, progress, reports, roots, scalars, scoring, stores, texts, trees  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -221,6 +221,40 @@ REPORT_INDEX = f"""report_index AS (
          CAST(o_orderkey % 3 AS BIGINT) AS critical, CAST(o_custkey % 4 AS BIGINT) AS high, CAST(o_orderkey % 7 AS BIGINT) AS medium, CAST(o_custkey % 2 AS BIGINT) AS low
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
+# --- report artifacts: documents as files of a report tree -----------------------------------------
+
+STEMS = ["sql_injection", "path_traversal", "weak_hashing", "executive_summary", "audit_report"]
+TREE_FORMATS = ["json", "md", "html", "sarif"]
+
+
+def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: four documents a stem, one a format; some JSON is cut, some are progress sidecars. Runs are in three layouts."""
+    n = F.col("g")
+    at = lambda xs, i: F.element_at(literals(xs), (i % len(xs) + 1).cast("int"))
+    stamp = F.expr("date_format(timestampadd(SECOND, (g div 256) % 3000 * 86400 + (g div 768000) % 86400, TIMESTAMP_NTZ'2020-01-01 00:00:00'), 'yyyyMMdd_HHmmss')")
+    team = (n % 5).cast("string")
+    run = F.when(n % 3 == 0, F.concat(F.lit("shop"), team, F.lit("_"), stamp)).when(n % 3 == 1, stamp).otherwise(F.concat(F.lit("team"), team, F.lit("/"), stamp))
+    sidecar = F.when((n % 9 == 0) & (F.col("format") == "json"), ".progress").otherwise("")
+    path = F.concat(run, F.lit("/model-"), (n % 4).cast("string"), F.lit("/"), "format", F.lit("/"), at(STEMS, n), F.lit("_"), n.cast("string"), sidecar, F.lit("."), "format")
+    project = F.when(n % 7 != 0, F.concat(F.lit(',"project":"app'), (n % 11).cast("string"), F.lit('"'))).otherwise("")
+    body = F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in ('{"stats":{"critical":', n % 3, ',"high":"', n % 4, '","low":', n % 10, '},"language":"', F.coalesce("lang", F.lit("")), '"', project, ',"progress":{"completed":', n % 6, ',"total":6}')))
+    content = F.when(F.col("format") != "json", F.coalesce("text", F.lit(""))).otherwise(F.concat(body, F.when(n % 13 != 0, "}").otherwise("")))
+    d = read(spark, sf_dir, "documents").withColumns({"g": F.expr("doc_id div 4"), "format": at(TREE_FORMATS, F.col("doc_id"))})
+    return d.select(path.alias("path"), content.alias("content"))
+
+
+ARTIFACTS = f"""artifact_rows AS (
+  SELECT doc_id // 4 AS g, text, lang, list_extract({sql_list(TREE_FORMATS)}, CAST(doc_id % 4 + 1 AS INT)) AS format,
+         strftime(TIMESTAMP '2020-01-01' + to_seconds((doc_id // 4 // 256) % 3000 * 86400 + (doc_id // 4 // 768000) % 86400), '%Y%m%d_%H%M%S') AS stamp FROM documents),
+artifacts AS (
+  SELECT *, run_key || '/' || model || '/' || format || '/' || stem || CASE WHEN sidecar THEN '.progress.' ELSE '.' END || format AS path FROM (
+    SELECT g, format, stamp, 'model-' || (g % 4) AS model, list_extract({sql_list(STEMS)}, CAST(g % 5 + 1 AS INT)) || '_' || g AS stem, format = 'json' AND g % 9 = 0 AS sidecar,
+           CASE g % 3 WHEN 0 THEN 'shop' || (g % 5) WHEN 2 THEN 'team' || (g % 5) END AS folder,
+           CASE g % 3 WHEN 0 THEN 'shop' || (g % 5) || '_' || stamp WHEN 1 THEN stamp ELSE 'team' || (g % 5) || '/' || stamp END AS run_key,
+           CASE WHEN format <> 'json' THEN coalesce(text, '') ELSE '{{"stats":{{"critical":' || (g % 3) || ',"high":"' || (g % 4) || '","low":' || (g % 10) || '}},"language":"' || coalesce(lang, '') || '"'
+             || CASE WHEN g % 7 <> 0 THEN ',"project":"app' || (g % 11) || '"' ELSE '' END || ',"progress":{{"completed":' || (g % 6) || ',"total":6}}' || CASE WHEN g % 13 <> 0 THEN '}}' ELSE '' END END AS content
+    FROM artifact_rows))"""
+
 # --- progress -----------------------------------------------------------------------------------
 
 
@@ -231,7 +265,7 @@ def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PROGRESS = "progress AS (SELECT event_id, user_id AS run_id, ts AS updated_at, event_type AS status, CAST(json_extract_string(props, '$.k') AS BIGINT) AS completed, value FROM events)"
 
-CTES = {"code_files": CODE_FILES, "code_lines": CODE_LINES, "file_vectors": FILE_VECTORS, "type_vectors": TYPE_VECTORS, "scores": SCORES, "findings": FINDINGS, "report_index": REPORT_INDEX, "progress": PROGRESS}
+CTES = {"code_files": CODE_FILES, "code_lines": CODE_LINES, "file_vectors": FILE_VECTORS, "type_vectors": TYPE_VECTORS, "scores": SCORES, "findings": FINDINGS, "report_index": REPORT_INDEX, "progress": PROGRESS, "artifacts": ARTIFACTS}
 _NEEDS = {"scores": ("file_vectors", "type_vectors"), "type_vectors": ("file_vectors",)}
 
 
