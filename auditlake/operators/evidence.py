@@ -176,6 +176,14 @@ def joined_evidence(hits: DataFrame, kinds: dict[str, list[str]], nullifying: li
     return flow.unionByName(files, allowMissingColumns=True)
 
 
+def traced_evidence(evidence: DataFrame, sinks: DataFrame, paths: DataFrame) -> DataFrame:
+    """joined_evidence with `reaches` by call paths: whether `traces` (paths) lead an entry point to one of the finding's sinks
+    (file_id, line_no, kind), in place of an entry point nearby."""
+    led = paths.filter("entry_line is not null").select("file_id", "line_no").distinct()
+    reached = sinks.join(led, ["file_id", "line_no"], "left_semi").select("file_id", "kind").distinct().withColumn("_led", F.lit(True))
+    return evidence.join(reached, ["file_id", "kind"], "left").withColumn("reaches", F.when(F.col("family") == "flow", F.coalesce("_led", F.lit(False)))).drop("_led")
+
+
 def required_controls(asked: DataFrame, hits: DataFrame) -> DataFrame:
     """asked: finding_id, file_id, kind. Every required control with its places, and whether it is there."""
     found = hits.groupBy("file_id", "kind").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))

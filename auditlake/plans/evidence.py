@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from auditlake.operators import evidence as E
 from auditlake.operators import fitting as X
 from auditlake.operators import patterns as P
+from auditlake.operators import routing as G
 from auditlake.plans.patterns import NULLIFY_SQL, SEVERITY_SQL, hits, hits_sql
 from auditlake.registry import query
+from auditlake.session import cut_lineage
 from auditlake.sources.derived import code_lines, read, with_sql
 
 DEF_SQL = "nullif(regexp_extract(line, '^\\s*(?:def|function|func|fn|sub)\\s+([A-Za-z0-9_]+)\\s*\\(', 1), '')"
@@ -215,7 +217,7 @@ RANK_SQL = f"CASE {SEVERITY_SQL} WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN
 VERDICT_SQL = f"CASE family WHEN 'flow' THEN {FLOW_SQL} WHEN 'access' THEN {ACCESS_SQL} ELSE {CONFIG_SQL} END"
 
 
-JOINED_SQL = f"""WITH {hits_sql('sink')}, src AS ({P.scan_sql(P.CATALOG['source'])}), en AS ({P.scan_sql(P.CATALOG['entry'])}), mi AS ({P.scan_sql(P.CATALOG['mitigation'])}), co AS ({P.scan_sql(P.CATALOG['control'])}), cf AS ({P.scan_sql(P.CATALOG['config'])}),
+JOINED_EV = f"""WITH {hits_sql('sink')}, src AS ({P.scan_sql(P.CATALOG['source'])}), en AS ({P.scan_sql(P.CATALOG['entry'])}), mi AS ({P.scan_sql(P.CATALOG['mitigation'])}), co AS ({P.scan_sql(P.CATALOG['control'])}), cf AS ({P.scan_sql(P.CATALOG['config'])}),
 var AS (SELECT s.file_id, s.line_no AS src_line, nullif(regexp_extract(l.line, '^\\s*(?:let |var |const |final )?([$@]?[A-Za-z_][A-Za-z0-9_]*)\\s*:?=\\s*([^=].*)$', 1), '') AS variable FROM src s JOIN code_lines l USING (file_id, line_no)),
 k AS (SELECT h.*, l.line FROM hits h JOIN code_lines l USING (file_id, line_no)),
 reach AS (SELECT DISTINCT k.file_id, k.kind FROM k JOIN en ON en.file_id = k.file_id AND k.line_no BETWEEN en.line_no - 3 AND en.line_no + 5),
@@ -225,7 +227,9 @@ ev AS (SELECT f.file_id, f.kind, 'flow' AS family, f.file_id IN (SELECT file_id
   UNION ALL SELECT a.file_id, family, family, NULL, NULL, NULL, NULL, NULL, 3, 3 - coalesce(c.present, 0), c.file_id IS NOT NULL, coalesce(g.found, 0), coalesce(g.top_rank, 0)
   FROM (SELECT DISTINCT file_id, unnest(['access', 'config']) AS family FROM code_lines) a
   LEFT JOIN (SELECT file_id, count(DISTINCT kind) FILTER (kind IN ('login_required', 'permission_check', 'csrf_protection')) AS present FROM co GROUP BY 1) c ON c.file_id = a.file_id
-  LEFT JOIN (SELECT file_id, count(*) AS found, max({RANK_SQL}) AS top_rank FROM cf GROUP BY 1) g ON g.file_id = a.file_id)
+  LEFT JOIN (SELECT file_id, count(*) AS found, max({RANK_SQL}) AS top_rank FROM cf GROUP BY 1) g ON g.file_id = a.file_id)"""
+EVIDENCE_ONLY_SQL = f"{JOINED_EV} SELECT * FROM ev"
+JOINED_SQL = f"""{JOINED_EV}
 SELECT file_id, family, kind, v.s AS status, CAST(v.c AS DOUBLE) AS confidence FROM (SELECT *, {VERDICT_SQL} AS v FROM ev)"""
 
 
@@ -290,6 +294,42 @@ def v5_graph_routing(spark: SparkSession, d: str) -> DataFrame:
     return evidence(spark, d).select("finding_id", route.alias("route"))
 
 
+#: Groups of hits that a stage works through.
+WORK = {"entry_points": "entry", "trace": "sink", "taint": "source", "mitigations": "mitigation", "authz": "control", "config_audit": "config"}
+ROUTED_SQL = f"""WITH joined_ev AS ({EVIDENCE_ONLY_SQL}), tr AS ({TRACE_SQL}),
+hit AS ({" UNION ALL ".join(f"SELECT file_id, line_no, kind, '{stage}' AS stage FROM ({P.scan_sql(P.CATALOG[g])})" for stage, g in WORK.items())}),
+led AS (SELECT DISTINCT h.file_id, h.kind FROM hit h JOIN tr ON tr.file_id = h.file_id AND tr.line_no = h.line_no AND tr.entry_line IS NOT NULL WHERE h.stage = 'trace'),
+ev AS (SELECT e.* EXCLUDE (reaches), CASE WHEN family = 'flow' THEN l.kind IS NOT NULL END AS reaches, CAST(2 + (e.file_id * 7) % 13 AS DOUBLE) AS budget FROM joined_ev e LEFT JOIN led l ON l.file_id = e.file_id AND l.kind = e.kind),
+items AS (SELECT file_id, stage, count(*) AS n FROM hit GROUP BY 1, 2),
+moves(fam, src, dst) AS (VALUES {", ".join(map(str, G.TRANSITIONS))}),
+walk AS (
+  SELECT file_id, family, kind, budget, 'classify' AS node, 0.0::DOUBLE AS spent, 'classify' AS route, []::VARCHAR[] AS ran, 0 AS step FROM ev
+  UNION ALL
+  SELECT w.file_id, w.family, w.kind, w.budget, m.dst, CASE WHEN m.dst <> 'verdict' AND w.spent < w.budget THEN w.spent + 1.0 + coalesce(i.n, 0) ELSE w.spent END,
+         w.route || '>' || m.dst || CASE WHEN m.dst <> 'verdict' AND w.spent >= w.budget THEN '!' ELSE '' END, CASE WHEN m.dst <> 'verdict' AND w.spent < w.budget THEN list_append(w.ran, m.dst) ELSE w.ran END, step + 1
+  FROM walk w JOIN moves m ON m.fam = w.family AND m.src = w.node LEFT JOIN items i ON i.file_id = w.file_id AND i.stage = m.dst),
+ended AS (SELECT * FROM walk WHERE node = 'verdict'),
+told AS (SELECT e.file_id, e.family, e.kind, w.route, w.spent, contains(w.route, '!') AS exhausted, {", ".join((f"list_contains(w.ran, '{stage}') AND coalesce({c}, false) AS {c}" if c in ("entries", "reaches", "taint", "nullified", "soft", "authz") else f"CASE WHEN list_contains(w.ran, '{stage}') THEN {c} ELSE 0 END AS {c}") for stage, columns in G.GIVES.items() for c in columns)}
+  FROM ev e JOIN ended w ON w.file_id = e.file_id AND w.family = e.family AND w.kind = e.kind)
+SELECT file_id, family, kind, route, spent, exhausted, v.s AS status, CAST(round(CASE WHEN exhausted THEN greatest(0.1, v.c - 0.15) ELSE v.c END, 2) AS DOUBLE) AS confidence FROM (SELECT *, {VERDICT_SQL} AS v FROM told)"""
+
+
+@query(with_sql("code_lines", ROUTED_SQL).replace("WITH ", "WITH RECURSIVE ", 1))
+def v5_routed_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of the scans, with call paths to entry points, walked through the stages of their family under budgets of 2 to 14
+    seconds; a verdict reads what the stages that ran have given."""
+    groups = {g: list(P.CATALOG[g]) for g in ("sink", "source", "entry", "mitigation", "control", "config")}
+    lines = code_lines(spark, d)
+    found = cut_lineage(P.scan(lines, {k: p for g in groups for k, p in P.CATALOG[g].items()}, keep=True))
+    rank = F.element_at(F.create_map(*(F.lit(x) for pair in (("critical", 4), ("high", 3), ("medium", 2), ("low", 1)) for x in pair)), P.severity(F.col("kind")))
+    of = lambda g: found.filter(F.col("kind").isin(groups[g])).select("file_id", "line_no", "kind")
+    ev = E.traced_evidence(E.joined_evidence(found, groups, list(P.NULLIFYING), REQUIRED, rank), of("sink"), E.traces(lines, of("entry"), of("sink")))
+    items = found.groupBy("file_id").agg(F.create_map(*(x for stage, g in WORK.items() for x in (F.lit(stage), F.count_if(F.col("kind").isin(groups[g]))))).alias("work"))
+    asked = ev.join(items, "file_id").withColumn("budget", (2 + (F.col("file_id") * 7) % 13).cast("double"))
+    v = E.combined_verdict(F.col("family"), _flow(), _access(), _config(), F.lit(False), F.col("exhausted"))
+    return G.seen_evidence(G.walked(asked)).withColumn("v", v).select("file_id", "family", "kind", "route", "spent", "exhausted", "v.status", "v.confidence")
+
+
 @query("SELECT o_orderkey, CAST(least(120, greatest(2, CASE o_orderkey % 4 WHEN 0 THEN 20 WHEN 1 THEN 0.1 WHEN 2 THEN 500 ELSE 45.5 END)) AS DOUBLE) AS budget FROM orders")
 def v6_time_budget(spark: SparkSession, d: str) -> DataFrame:
     raw = F.when(F.col("o_orderkey") % 4 == 0, "not a number").when(F.col("o_orderkey") % 4 == 1, "0.1").when(F.col("o_orderkey") % 4 == 2, "500").otherwise("45.5")
