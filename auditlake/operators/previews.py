@@ -16,15 +16,16 @@ LINK, HEAD = pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())
 ROWS = 64
 
 
-def previews(pages: DataFrame, tags: tuple[str, ...] = (), classes: tuple[str, ...] = ("report-header",)) -> DataFrame:
-    """key, html, links (before, after), headings (level, title) of pages (key, folder, html). A null text stays null."""
+def previews(pages: DataFrame, tags: tuple[str, ...] = (), classes: tuple[str, ...] = ("report-header",), names: tuple[str, ...] | None = None) -> DataFrame:
+    """key, html, links (before, after), headings (level, title) of pages (key, folder, html). A null text stays null.
+    Titles have the character references `names` resolved (all, if None)."""
     key = pages.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(i, ROWS)
-                found = [None if t is None else preview(t, f or "", tags, classes) for f, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+                found = [None if t is None else preview(t, f or "", tags, classes, names) for f, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
                 links = [[] if p is None else [{"before": a, "after": b} for a, b in p.links] for p in found]
                 heads = [[] if p is None else [{"level": a, "title": b} for a, b in p.headings] for p in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p and p.html for p in found], pa.string()), pa.array(links, LINK), pa.array(heads, HEAD)], names=[key, "html", "links", "headings"])

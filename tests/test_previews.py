@@ -74,6 +74,18 @@ def test_contents(spark):
     assert [(r.number, r.anchor) for r in got] == [("0.1", "a"), ("1", "one"), ("1.1", "x"), ("1.1.1", "y"), ("1.1.2", "x-2"), ("1.2", "section"), ("2", "x-3")]
 
 
+def test_contents_resolve_the_asked_references(spark, tmp_path):
+    import oracle
+    from auditlake import registry
+
+    texts = ["a &amp; b", "cut &amp", "t = &quot;77&quot;", "&amp;quot; &amp;amp;", "&lt;b&gt; &#65; &Amp;", " x  y "]
+    rows = [(i, f"<article><p>{t}</p><p>{t}</p></article>") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).toPandas().to_parquet(tmp_path / "pages.parquet")
+    assert oracle.differences(spark, "x36_contents", registry.queries(), registry.oracle_sql(), str(tmp_path)) == ""
+    df = spark.createDataFrame([(1, "", f"<h1>{texts[2]}</h1>")], "id int, folder string, html string")
+    assert P.previews(df).first().headings[0].title == 't = "77"' and P.previews(df, names=()).first().headings[0].title == texts[2]
+
+
 PROGRAMS = {
     "js": ("// function no() {\nfunction a(x) {\n  if (x) { return '}'; }\n}\nconst b = (y) => {\n  return y;\n};\nfunction c() { return 1; }\nfunction d() {\n  /* } */ let s = \"}\";", [("a", 2, 4), ("b", 5, 7), ("c", 8, 8), ("d", 9, 10)]),
     "java": ("class K {\n  public static int f(int a)\n  {\n    /* {\n    { */\n    return a;\n  }\n  private void g() {}\n}", [("f", 2, 7), ("g", 8, 8)]),
