@@ -232,3 +232,19 @@ def test_stream_without_files_and_with_several_batches(spark, tmp_path):
         spark.sql(f"SELECT {i}L AS event_id, timestamp_ntz'2024-01-0{i + 1} 00:00:00' AS ts, 7L AS user_id, 's{i % 2}' AS event_type, 0D AS value, '{{}}' AS props").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     assert [r.event_id for r in M.run_to_end(spark, M.latest_progress(stream()), "complete").collect()] == [2]
     assert M.run_to_end(spark, M.changed_status(stream()), "append").count() == 3
+
+
+def test_scan_of_repeated_lines(spark, monkeypatch):
+    """Each distinct line meets the patterns once; rows are those of the plain scan, whether its kinds are sent or shuffled."""
+    texts = ["x = eval(y)", "x = eval(y)  ", "", None, "cursor.execute(q)", "eval(a); cursor.execute(b)", "plain"]
+    lines = spark.createDataFrame([(i % 5, i, texts[i % len(texts)]) for i in range(70)], "file_id int, line_no int, line string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    for chars in (P.SENT_CHARS, -1):
+        monkeypatch.setattr(P, "SENT_CHARS", chars)
+        for keep in (True, False):
+            got = P.scan_repeated(lines, P.CATALOG["sink"], keep=keep)
+            assert rows(got) == rows(P.scan(lines, P.CATALOG["sink"], keep=keep)) and got.columns == ["file_id", "line_no", "line", "kind"]
+    assert P.scan_repeated(lines.limit(0), P.CATALOG["sink"]).count() == 0
+    # The patterns read a held table of distinct lines, not the lines.
+    held = P.scan_repeated(lines, P.CATALOG["sink"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" in held or "LogicalRDD [_text" in held
