@@ -1,4 +1,4 @@
-"""Fitting a verdict's evidence into a budget of characters (a staged reduction as one fold over nested arrays).
+"""Fitting a verdict's evidence into a budget of characters (a staged reduction by lengths over nested arrays).
 
 A document is an object of core fields and named lists of items, each item JSON already. Stages, left at the first
 result that fits: as it is; lists halved one after another, longest first; lists cut to a prefix, or to a mark alone, the
@@ -8,6 +8,8 @@ A null or empty list is absent; equal lengths go in the order of the document; a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,51 +32,56 @@ def is_evidence(name: Column) -> Column:
     return out
 
 
-def _some(items: Column, keep: Column) -> Column:
-    return F.concat(F.slice(items, 1, keep), F.array(mark(F.size(items) - keep)))
-
-
-def serialized(core: Column, lists: Column) -> Column:
-    """core: the JSON object of the core fields; lists: array of (name, items)."""
-    rest = F.transform(lists, lambda x: F.concat(F.lit(',"'), x["name"], F.lit('":['), F.array_join(x["items"], ","), F.lit("]")))
-    return F.concat(F.substring(core, 1, F.length(core) - 1), F.array_join(rest, ""), F.lit("}"))
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def steps(lists: Column) -> Column:
-    """What is done to which list, in order: (name, halve). Sizes after halving are known beforehand."""
-    long_ = F.filter(lists, lambda x: F.size(x["items"]) > 1)
-    sized = F.transform(long_, lambda x, i: F.struct((-F.size(x["items"])).alias("first"), i.alias("at"), x["name"].alias("name"), F.lit(True).alias("halve")))
-    after = lambda x: F.floor(F.size(x["items"]) / 2).cast("int") + 1
-    cut = F.transform(long_, lambda x: F.struct(is_evidence(x["name"]).cast("int").alias("first"), after(x).alias("at"), x["name"].alias("name"), F.lit(False).alias("halve")))
-    brief = lambda a: F.transform(F.array_sort(a), lambda x: F.struct(x["name"].alias("name"), x.halve.alias("halve")))
-    return F.concat(brief(sized), brief(cut))
+def _forms(lists: Column) -> Column:
+    """Of each list that is not empty: name, n (items), evidence, and its items as a text: whole, halved and cut (null for one item)."""
+    half, after = (lambda x: F.floor(x.n / 2).cast("int")), (lambda x: F.floor(x.n / 2).cast("int") + 1)
+    text = lambda items, keep, left: F.array_join(F.concat(F.slice(items, 1, keep), F.array(mark(left))), ",")
+    halved = lambda x: text(x["items"], half(x), x.n - half(x))
+    # A halved list of PREFIX items at most stays; of a longer one the first are still the list's own.
+    cut = lambda x: F.when(~x.evidence, mark(after(x))).when(after(x) <= PREFIX, halved(x)).otherwise(text(x["items"], F.lit(PREFIX), after(x) - PREFIX))
+    some = F.filter(lists, lambda x: F.coalesce(F.size(x["items"]) > 0, F.lit(False)))
+    sized = F.transform(some, lambda x: F.struct(x["name"].alias("name"), x["items"].alias("items"), F.size(x["items"]).alias("n"), is_evidence(x["name"]).alias("evidence")))
+    return F.transform(sized, lambda x: F.struct(x["name"].alias("name"), x.n.alias("n"), x.evidence.alias("evidence"), F.array_join(x["items"], ",").alias("whole"), F.when(x.n > 1, halved(x)).alias("halved"), F.when(x.n > 1, cut(x)).alias("cut")))
 
 
-def _stepped(lists: Column, step: Column) -> Column:
-    def one(x: Column) -> Column:
-        halved = _some(x["items"], F.floor(F.size(x["items"]) / 2).cast("int"))
-        cut = F.when(is_evidence(x["name"]), F.when(F.size(x["items"]) > PREFIX, _some(x["items"], F.lit(PREFIX))).otherwise(x["items"])).otherwise(F.array(mark(F.size(x["items"]))))
-        return F.struct(x["name"].alias("name"), F.when(x["name"] == step["name"], F.when(step.halve, halved).otherwise(cut)).otherwise(x["items"]).alias("items"))
-
-    return F.transform(lists, one)
+def _steps(forms: Column) -> Column:
+    """What is done to which list, in order: (i, less); lists are halved first, then cut. less: characters that a step adds."""
+    at = F.filter(F.transform(forms, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: y.x.n > 1)
+    halve = F.transform(at, lambda y: F.struct((-y.x.n).alias("a"), y.i.alias("b"), y.x["name"].alias("c"), y.i.alias("i"), (F.length(y.x.halved) - F.length(y.x.whole)).alias("less")))
+    cut = F.transform(at, lambda y: F.struct(y.x.evidence.cast("int").alias("a"), (F.floor(y.x.n / 2).cast("int") + 1).alias("b"), y.x["name"].alias("c"), y.i.alias("i"), (F.length(y.x.cut) - F.length(y.x.halved)).alias("less")))
+    return F.concat(F.array_sort(halve), F.array_sort(cut))
 
 
 def fitted(core: Column, lists: Column, budget: Column) -> Column:
-    """(text, stage, n_cut): the first stage that fits, and how many lists were cut to a prefix or a mark."""
+    """(text, stage, n_cut): the first stage that fits, and how many lists were cut to a prefix or a mark. core: the JSON object of
+    the core fields; lists: array of (name, items). Stages are tried by lengths; only the one that fits becomes a text."""
     none = F.lit(0)
-    lists = F.filter(lists, lambda x: F.coalesce(F.size(x["items"]) > 0, F.lit(False)))
-    begin = F.struct(lists.alias("lists"), F.lit("fits_initial").alias("stage"), none.alias("n_cut"), (F.length(serialized(core, lists)) <= budget).alias("fits"))
-
-    def fold(s: Column, step: Column) -> Column:
-        now = _stepped(s.lists, step)
-        went = F.struct(now.alias("lists"), F.when(step.halve, "halved_lists").otherwise("dropped_lists").alias("stage"), (s.n_cut + F.when(step.halve, 0).otherwise(1)).alias("n_cut"), (F.length(serialized(core, now)) <= budget).alias("fits"))
-        return F.when(s.fits, s).otherwise(went)
 
-    def end(s: Column) -> Column:
+    def taken(forms: Column, steps: Column) -> Column:
+        """How many steps it takes until the document fits; -1 if it never does."""
+        size = F.aggregate(forms, F.length(core), lambda n, x: n + F.length(x["name"]) + F.length(x.whole) + len(',"":[]'))
+        begin = _let(size, lambda n: F.struct(n.alias("size"), none.alias("i"), F.coalesce(n <= budget, F.lit(False)).alias("fits")))
+        step = lambda s, x: F.when(s.fits, s).otherwise(F.struct((s["size"] + x.less).alias("size"), (s.i + 1).alias("i"), F.coalesce(s["size"] + x.less <= budget, F.lit(False)).alias("fits")))
+        return F.aggregate(steps, begin, step, lambda s: F.when(s.fits, s.i).otherwise(-1))
+
+    def text(forms: Column, steps: Column, k: Column, n_long: Column) -> Column:
+        ids = lambda start, n: F.transform(F.slice(steps, start, F.greatest(n, none)), lambda x: x.i)
+        one = lambda x, i, halved, cut: F.concat(F.lit(',"'), x["name"], F.lit('":['), F.when(F.array_contains(cut, i), x.cut).when(F.array_contains(halved, i), x.halved).otherwise(x.whole), F.lit("]"))
+        rest = _let(F.struct(ids(F.lit(1), F.least(k, n_long)).alias("h"), ids(n_long + 1, k - n_long).alias("c")), lambda s: F.array_join(F.transform(forms, lambda x, i: one(x, i, s.h, s.c)), ""))
+        return F.concat(F.substring(core, 1, F.length(core) - 1), rest, F.lit("}"))
+
+    def end(forms: Column, steps: Column, k: Column) -> Column:
+        n_long = (F.size(steps) / 2).cast("int")
         short = F.concat(F.substring(core, F.lit(1), F.greatest(budget - len(SUFFIX), none).cast("int")), F.lit(SUFFIX))
         hard = F.when(budget <= len(SUFFIX), F.substring(core, F.lit(1), F.greatest(budget, none).cast("int"))).otherwise(short)
-        text = F.when(s.fits, serialized(core, s.lists)).when(F.length(core) <= budget, core).otherwise(hard)
-        stage = F.when(s.fits, s.stage).when(F.length(core) <= budget, "core_only").otherwise("hard_cap")
-        return F.struct(text.alias("text"), stage.alias("stage"), s.n_cut.alias("n_cut"))
+        fits, alone = k >= 0, F.length(core) <= budget
+        stage = F.when(k == 0, "fits_initial").when(fits & (k <= n_long), "halved_lists").when(fits, "dropped_lists").when(alone, "core_only").otherwise("hard_cap")
+        n_cut = F.when(fits, F.greatest(none, k - n_long)).otherwise(n_long)
+        return F.struct(F.when(fits, text(forms, steps, k, n_long)).when(alone, core).otherwise(hard).alias("text"), stage.alias("stage"), n_cut.alias("n_cut"))
 
-    return F.aggregate(steps(lists), begin, fold, end)
+    return _let(_forms(lists), lambda forms: _let(_steps(forms), lambda steps: _let(taken(forms, steps), lambda k: end(forms, steps, k))))

@@ -144,3 +144,13 @@ def test_fitting_against_plain_lists(spark):
     got = df.select("id", X.fitted(F.col("core"), F.col("lists"), F.col("budget")).alias("x")).select("id", "x.text", "x.stage").orderBy("id").collect()
     assert [tuple(r) for r in got] == want
     assert len({w[2] for w in want}) == 5
+
+
+def test_fitting_tries_stages_by_lengths(spark):
+    """No document is made into a text at each stage: the plan names each list's texts a fixed number of times."""
+    df = spark.createDataFrame([(1, "{}", [("notes", ["1", "2"])], 5)], "id int, core string, lists array<struct<name: string, items: array<string>>>, budget int")
+    plan = df.select(X.fitted(F.col("core"), F.col("lists"), F.col("budget")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_join(") <= 6
+    long_ = spark.createDataFrame([(1, '{"k":1}', [(n, [f'"{n}{i}"' for i in range(50_000)]) for n in ("a", "b", "notes")], 200)], df.schema)
+    text = long_.select(X.fitted(F.col("core"), F.col("lists"), F.col("budget")).alias("x")).first().x
+    assert text.stage == "dropped_lists" and json.loads(text.text)["notes"][3] == {"_truncated": True, "_omitted_count": 24998}
