@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import Scratch, importable, short, table, text_bytes
 from auditlake.llm.op4_suffix_dedup import kept_parts, merged, with_stretches
-from auditlake.llm.op6_language import UNDETERMINED, training_sample, with_language
+from auditlake.llm.op6_language import UNDETERMINED, predictions, training_sample
 from auditlake.llm.op7_secrets import redacted, scanned
 from auditlake.llm.op8_neardup import near_duplicates
 from auditlake.llm.op9_packing import pack
@@ -24,9 +24,16 @@ def _with_text(batch: pa.RecordBatch, columns: list[str], texts: list[str | None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (no text, or no letter in it) go."""
-    found = with_language(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), training_sample(docs))
-    return found.filter(F.col("lang_pred") != UNDETERMINED).select("row.*")
+    """Documents in no language (no text, or no letter in it) go. Each text goes to Python once, in its own row."""
+    importable(spark)
+    sample, at = training_sample(docs), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in short(batches, at, 1024):
+            known = [found != UNDETERMINED for found, _ in predictions(batch, at, sample)]
+            yield batch.filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,3 +20,10 @@ def test_stages(spark, docs, empty, tmp_path):
     assert 0 in kept and 1 not in kept and kept.count(7) == 1
     assert all("abcdef0123456789" not in r["text"] for r in seen["docs", "secrets"])
     assert {r["doc_id"] for r in seen["docs", "packing"]} == {r["doc_id"] for r in seen["docs", "secrets"]}
+
+
+def test_language_hands_each_text_to_python_once(spark, docs):
+    found = pipeline.identify_language(spark, docs, "")
+    assert found.schema == docs.schema
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "struct(" not in plan.split("MapInArrow")[1]
