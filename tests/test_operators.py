@@ -214,6 +214,29 @@ def test_traces(spark):
     assert len(cut) == 3 and all(r.entry_line is None for r in cut)
 
 
+def test_traces_without_limits(spark):
+    from auditlake.operators import evidence as E
+
+    # s holds the sink; 30 entry points call s; the chain c1 > ... > c8 > t of one entry point is longer than five; no entry point reaches u.
+    rows = [(0, 1, "def s(x):"), (0, 2, "    os.system(x)")]
+    for i in range(1, 31):
+        rows += [(i, 1, '@app.route("/x")'), (i, 2, f"def a{i}(request):"), (i, 3, "    s(request)")]
+    rows += [(50, 1, '@app.route("/y")'), (50, 2, "def b(request):"), (50, 3, "    c1(request)")]
+    rows += [x for k in range(1, 9) for x in ((60 + k, 1, f"def c{k}(x):"), (60 + k, 2, f"    {'t' if k == 8 else f'c{k + 1}'}(x)"))]
+    rows += [(70, 1, "def t(x):"), (70, 2, "    os.system(x)"), (71, 1, "def u(x):"), (71, 2, "    os.system(x)"), (71, 3, "    u(x)")]
+    lines = spark.createDataFrame(rows, "file_id long, line_no long, line string")
+    entries = spark.createDataFrame([(f, n, "flask") for f, n, x in rows if x.startswith("@")], "file_id long, line_no long, kind string")
+    sinks = spark.createDataFrame([(0, 2), (0, 2), (70, 2), (71, 2)], "file_id long, line_no long")
+    paths = sorted((r.symbol, r.depth, r.hops) for r in E.whole_paths(lines, entries, sinks).collect())
+    long = "50:3>" + ">".join(f"{60 + k}:2" for k in range(1, 9))
+    assert paths == sorted([("s", 1, f"{i}:3") for i in range(1, 31)] + [("t", 9, long)])
+    assert sorted((r.file_id, r.symbol, r.entry_line) for r in E.traced_sinks(lines, entries, sinks).collect()) == [(0, "s", None), (70, "t", None), (71, "u", None)]
+    assert sorted(map(tuple, E.led_sinks(lines, entries, sinks).collect())) == [(0, 2), (70, 2)]
+    every = E.traces(lines, entries, sinks, None, None, None).collect()
+    assert sorted(r.hops for r in every if r.entry_line) == sorted([f"{i}:3>0:2" for i in range(1, 31)] + [long + ">70:2"]) and len(every) == 32
+    assert E.whole_paths(lines, entries, sinks.limit(0)).count() == 0 and E.led_sinks(lines, entries.limit(0), sinks).count() == 0
+
+
 def test_phase_table(spark):
     from auditlake.functions import names as N
 
