@@ -113,5 +113,5 @@ node AS (SELECT 'finding' AS kind, report_id, file_ord, 1 AS step, chunk AS ch,
 def s20_report_bodies(spark: SparkSession, d: str) -> DataFrame:
     """Whole reports in four formats, written as files and read back line by line."""
     path = f"{shared_folder(spark)}/bodies-{uuid.uuid4().hex}"
-    D.write_bodies(D.rendered(D.nodes(findings(spark, d))), path)
+    D.write_reports(findings(spark, d), path)
     return D.read_bodies(spark, path)

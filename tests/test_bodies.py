@@ -51,6 +51,30 @@ def test_bodies_are_read_back_in_order(spark, tmp_path):
     assert got == want
 
 
+def test_reports_are_written_without_a_shuffle_of_lines(spark, tmp_path):
+    nan = float("nan")
+    rows = [(i % 3, f"f{i % 40}.py", [0.5, 0.25, 0.5, nan, None, -0.0, 0.75][i % 40 % 7], i % 4, ["High", "Low", "Info", "Odd", None][i % 5], f"t{i % 50}", i % 9, "k", None) for i in range(6000)]
+    rows += [(1, "m.py", x, None, "Low", "t", 1, "k", None) for x in (0.1, None, 0.9, 0.1)] + [(2, f"n{i}.py", None, 1, None, None, None, "k", None) for i in range(3)] + ROWS[:4] + ROWS[6:]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    # Titles with line breaks are lines of their own when they are read back.
+    want = {k: "\n".join(v).split("\n") for k, v in bodies(D.rendered(D.nodes(df)).collect()).items()}
+    # Partitions that are not merged: whatever is dealt out after the ranges would lose their order.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        D.write_reports(df, str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = D.read_bodies(spark, str(tmp_path / "out"))
+    assert bodies(back.collect()) == want
+    size = sum(p.stat().st_size for p in (tmp_path / "out").rglob("part-*"))
+    assert size * 5 < sum(len(x) + 1 for v in want.values() for x in v)
+    # Blocks are counted and dealt out, lines are not: each is read once more and stays in its task.
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert plan.split("MapInArrow")[0].count("Exchange") == 0
+    D.write_reports(df.limit(0), str(tmp_path / "none"))
+
+
 def test_scores_round_as_in_the_twin(spark, tmp_path):
     import duckdb
 
